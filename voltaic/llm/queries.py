@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from voltaic.llm import langid, mixing, packing, quality, simhash, substrings, tokens, topk, toxicity, webp
-from voltaic.llm._common import crc_mod, table
+from voltaic.llm._common import crc_mod, cut, table
 
 #: Paths of the public vocabularies; operators take any such path.
 COUNTING = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,8 +18,9 @@ PACKING = public_tokenizers.path("word_bpe_49k.json")
 
 
 def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as lossless WebP and read back."""
-    got = webp.read_payloads(webp.store_payloads(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    """Every text stored as lossless WebP in a table of its own, and read back from there."""
+    stored = cut(webp.store_payloads(table(spark, sf_dir, "documents")), "media")
+    got = webp.read_payloads(stored)
     size = F.octet_length("pixels")
     return got.select(
         "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"),

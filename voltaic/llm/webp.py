@@ -22,7 +22,7 @@ ROW_BYTES, WIDTH, MAX_ROWS = 576, 144, 448
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 #: Longest prefix code that the encoder makes.
 LIMIT = 11
-_BATCH_BYTES = 4 << 20
+_BATCH_BYTES = 2 << 20
 
 # Fixed values of the format: the order of code length codes, and the (x, y) offsets of the 120 short distances.
 CODE_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
@@ -161,7 +161,6 @@ def _read_pixels(lanes: _Lanes, at: np.ndarray, width: np.ndarray, height: np.nd
     groups, meta, meta_bits = np.ones(n, np.int64), None, np.zeros(n, np.int64)
     if main and len(k := np.flatnonzero(lanes.read(at, 1) == 1)):
         meta_bits[k] = lanes.read(at[k], 3) + 2
-        across, down = -(-width[k] >> meta_bits[k]), -(-height[k] >> meta_bits[k])
         across, down = (width[k] + (1 << meta_bits[k]) - 1) >> meta_bits[k], (height[k] + (1 << meta_bits[k]) - 1) >> meta_bits[k]
         parts = _read_pixels(lanes, at[k], across, down, False)
         meta = [np.zeros(1, np.int64)] * n
@@ -179,7 +178,7 @@ def _read_pixels(lanes: _Lanes, at: np.ndarray, width: np.ndarray, height: np.nd
             code[base[k] + g, : got.shape[1]] = got
     out = [np.zeros(0, np.uint32)] * n
     # the tables of 15-bit codes are large, so few such lanes go together
-    together = max(1, min(n, (6 << 20) >> int(max(c.max(initial=0) for c in codes))))
+    together = max(1, min(n, (2 << 20) >> int(max(c.max(initial=0) for c in codes))))
     for first in range(0, n, together):
         part = np.arange(first, min(n, first + together))
         lo, hi = base[part[0]], base[part[-1]] + groups[part[-1]]
