@@ -98,7 +98,7 @@ days AS (
   SELECT meter_id, CAST(date_hour AS DATE) AS date, sum(total_kwh) AS kwh, avg(avg_kwh) AS avg_kwh, min(min_kwh) AS min_kwh, max(max_kwh) AS max_kwh, stddev(avg_kwh) AS sd_kwh, CAST(sum(n) AS BIGINT) AS n,
     100.0::DOUBLE * sum(n1) / sum(n) AS p1, 100.0::DOUBLE * sum(n2) / sum(n) AS p2, 100.0::DOUBLE * sum(n3) / sum(n) AS p3, 100.0::DOUBLE * sum(na) / sum(n) AS pa, avg(pf) AS pf, bool_or(peak) AS peak, bool_or(off_peak) AS off_peak
   FROM fact GROUP BY 1, 2)
-SELECT meter_id, date, round(kwh, 6) AS kwh, round(avg_kwh, 6) AS avg_kwh, round(min_kwh, 6) AS min_kwh, round(max_kwh, 6) AS max_kwh, round(sd_kwh, 6) AS sd_kwh, n AS readings, round(pa, 6) AS anomaly_percent,
+SELECT meter_id, CAST(date AS VARCHAR) AS date, round(kwh, 6) AS kwh, round(avg_kwh, 6) AS avg_kwh, round(min_kwh, 6) AS min_kwh, round(max_kwh, 6) AS max_kwh, round(sd_kwh, 6) AS sd_kwh, n AS readings, round(pa, 6) AS anomaly_percent,
   """
     + _CATEGORY.format("kwh", 1, 10, 50, 100)
     + " AS consumption_category, "
@@ -113,7 +113,7 @@ FROM days""",
 def daily_metrics(spark, sf_dir):
     r = lambda c, n: F.round(c, 6).alias(n)
     return models.daily_metrics(_hourly(spark, sf_dir)).select(
-        "meter_id", "date", r("daily_consumption_kwh", "kwh"), r("avg_hourly_consumption_kwh", "avg_kwh"), r("min_hourly_consumption_kwh", "min_kwh"), r("max_hourly_consumption_kwh", "max_kwh"), r("stddev_hourly_consumption_kwh", "sd_kwh"),
+        "meter_id", F.col("date").cast("string").alias("date"), r("daily_consumption_kwh", "kwh"), r("avg_hourly_consumption_kwh", "avg_kwh"), r("min_hourly_consumption_kwh", "min_kwh"), r("max_hourly_consumption_kwh", "max_kwh"), r("stddev_hourly_consumption_kwh", "sd_kwh"),
         F.col("total_readings").alias("readings"), r("anomaly_percent", "anomaly_percent"), "consumption_category", "overall_quality_tier", "anomaly_classification", r("efficiency_adjusted_kwh", "adjusted_kwh"), "consumption_pattern", "data_completeness",
     )
 

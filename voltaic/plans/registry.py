@@ -20,3 +20,11 @@ def query(name: str, sql: str | None = None) -> Callable:
         return run
 
     return add
+
+
+def _load() -> None:
+    """The modules that register queries."""
+    from voltaic.plans import governance, metering, relational, timeline  # noqa: F401
+
+
+_load()
