@@ -147,13 +147,13 @@ class TokenCounter:
                     regular.append((i, parts[1:]))
         new = [w for w in set().union(*(p for _, p in regular)) if w not in self.words]
         fresh = dict(zip(new, self._tokens([self.split(w if w[0] == "\n" else " " + w) for w in new]), strict=True))
-        if len(self.words) + len(new) > _CACHE:  # full: what is known stays known, the rest holds for this call
-            known = lambda w: fresh[w] if w in fresh else self.words[w]
-        else:
-            self.words.update((w, n) for w, n in fresh.items() if len(w) <= 256)
-            known = self.words.__getitem__ if all(len(w) <= 256 for w in new) else lambda w: fresh[w] if w in fresh else self.words[w]
+        self.words.update(fresh)
         for i, parts in regular:
-            out[i] += sum(map(known, parts))
+            out[i] += sum(map(self.words.__getitem__, parts))
+        full = len(self.words) > _CACHE  # then what came before stays known
+        for w in new:
+            if full or len(w) > 256:
+                del self.words[w]
         for (i, _), n in zip(whole, self._tokens([self.split(s) for _, s in whole]), strict=True):
             out[i] += n
         return out
