@@ -111,7 +111,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_late_rows_are_dropped(spark, tmp_path):
     t = lambda m: dt.datetime(2024, 1, 1, 0, m)
-    for i, m in enumerate((0, 50, 1)):  # the third batch lies behind the watermark
+    for m in (0, 50, 51, 1):  # the last batch lies behind the watermark
         spark.createDataFrame([(1, t(m), 1.0)], "k int, ts timestamp, v double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     source = jobs.stream(spark, f"{tmp_path}/in", "k int, ts timestamp, v double", "ts", files_a_batch=1)
     got = jobs.drain(jobs.windowed(source, "ts", ["k"], "v", "5 minutes", late="1 minute"), f"{tmp_path}/out").collect()

@@ -19,8 +19,8 @@ def sequence(df: DataFrame, keys: list[str], ts: str, order: str, kind: str, wan
     Only events of wanted types are gathered, as (time, order, type), and folded once.
     """
     steps = F.array(*map(F.lit, wanted))
-    sorted_ = F.array_sort(F.collect_list(F.when(F.col(kind).isin(*wanted), F.struct(F.col(ts), F.col(order), F.col(kind).alias("t")))))
-    matched = F.aggregate(F.col("_e"), F.lit(0), lambda n, e: F.when((n < len(wanted)) & (e["t"] == F.get(steps, n)), n + 1).otherwise(n))
+    sorted_ = F.array_sort(F.collect_list(F.when(F.col(kind).isin(*wanted), F.struct(F.col(ts).alias("at"), F.col(order).alias("tie"), F.col(kind).alias("kind")))))
+    matched = F.aggregate(F.col("_e"), F.lit(0), lambda n, e: F.when((n < len(wanted)) & (e["kind"] == F.get(steps, n)), n + 1).otherwise(n))
     out = df.groupBy(*keys).agg(sorted_.alias("_e")).withColumn("matched", matched).drop("_e")
     return out.withColumn("confidence", F.col("matched") / F.lit(float(len(wanted))))
 
