@@ -19,7 +19,7 @@ from voltaic.llm._common import cut
 
 CAPACITY = 2048
 #: Most words whose ids a worker remembers; results don't depend on it.
-_CACHE = 700_000
+_CACHE = 1_500_000
 _SPACES = str.maketrans("\n\t\r", "   ")
 
 
