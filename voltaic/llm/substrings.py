@@ -27,7 +27,7 @@ from voltaic.llm._common import cut
 WINDOW, PHRASE = 35, 18
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 1 << 20
-_BATCH_BYTES = 2 << 20
+_BATCH_BYTES = 1 << 20
 
 _ODD1, _ODD2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so they have inverses
 _BYTE = np.random.default_rng(35).integers(0, 1 << 63, 256, dtype=np.uint64)
