@@ -62,3 +62,14 @@ def nearest(facts: DataFrame, places: DataFrame, lat: str, lon: str, key: str, m
     others = places.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), F.col(key).alias("_key"))
     best = spots.join(F.broadcast(others)).groupBy(lat, lon).agg(F.min(F.struct(distance.alias("d"), F.col("_key").alias("k"))).alias("_b"))
     return facts.join(best, [lat, lon]).withColumns({f"nearest_{key}": F.col("_b.k"), "distance": F.col("_b.d")}).drop("_b")
+
+
+def within_distance(df: DataFrame, key: str, lat: str, lon: str, reach: float) -> DataFrame:
+    """(key, other) of different rows under reach degrees apart, both ways. Cells of that width join by equality."""
+    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
+    places = df.select(key, lat, lon).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumns({"_x": cell(lat), "_y": cell(lon)})
+    steps = F.array(*[F.struct(F.lit(dx).alias("x"), F.lit(dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    others = places.select(F.col(key).alias("other"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), "_x", "_y", F.explode(steps).alias("_d"))
+    others = others.select("other", "_lat", "_lon", (F.col("_x") + F.col("_d.x")).alias("_x"), (F.col("_y") + F.col("_d.y")).alias("_y"))
+    distance = F.sqrt(F.pow(F.col(lat) - F.col("_lat"), F.lit(2)) + F.pow(F.col(lon) - F.col("_lon"), F.lit(2)))
+    return places.join(others, ["_x", "_y"]).filter((F.col(key) != F.col("other")) & (distance < reach)).select(key, "other")

@@ -14,6 +14,8 @@ PATTERNS = {
     "ip_address": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
     "mac_address": r"\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b",
     "date_of_birth": r"\b\d{1,2}/\d{1,2}/\d{4}\b",
+    "driver_license": r"\b[A-Z]\d{7,8}\b",
+    "passport": r"\b[A-Z]{1,2}\d{6,9}\b",
 }
 
 
