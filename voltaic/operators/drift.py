@@ -56,3 +56,38 @@ def ab_variant(key: Column, test: str, split: float) -> Column:
     for i in range(4):  # 2 ** 32 modulo 100 is 96
         remainder = (remainder * 96 + F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long")) % 100
     return F.when(remainder / 100 < split, "B").otherwise("A")
+
+
+def wasserstein(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
+    """One row, wasserstein: the area between the two distribution functions, from counts of each different value."""
+    sides = reference.select(F.col(column).alias("x"), F.lit(1).alias("ref")).unionAll(current.select(F.col(column).alias("x"), F.lit(0).alias("ref")))
+    counts = sides.filter("x is not null").groupBy("x").agg(F.sum("ref").alias("r"), F.sum(1 - F.col("ref")).alias("c"))
+    w, everything = Window.orderBy("x"), Window.partitionBy()
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    gap = F.abs(F.try_divide(F.sum("r").over(upto), F.sum("r").over(everything)) - F.try_divide(F.sum("c").over(upto), F.sum("c").over(everything)))
+    return counts.select((gap * (F.lead("x").over(w) - F.col("x"))).alias("a")).agg(F.sum("a").alias("wasserstein"))
+
+
+def rank_test(df: DataFrame, group: Column, value: str) -> DataFrame:
+    """Mann and Whitney's U of two groups (true and false) and its z, with mean ranks for ties; ranks come from counts of each value."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count_if(~group).alias("a"), F.count_if(group).alias("b"))
+    before = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.coalesce(F.sum(F.col("a") + F.col("b")).over(before), F.lit(0)) + (F.col("a") + F.col("b") + 1) / 2
+    out = counts.withColumn("_rank", rank).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("_rank") * F.col("a")).alias("_sum"))
+    pairs = F.col("n_a").cast("double") * F.col("n_b")
+    out = out.withColumn("u", F.col("_sum") - F.col("n_a") * (F.col("n_a") + 1) / 2)
+    return out.withColumn("z", F.try_divide(F.col("u") - pairs / 2, F.sqrt(pairs * (F.col("n_a") + F.col("n_b") + 1) / 12))).drop("_sum")
+
+
+def performance_drift(df: DataFrame, actual: str, predicted: str, expected_mae: float = 10.0, expected_rmse: float = 15.0, limit: float = 0.05) -> DataFrame:
+    """Errors against their expected values, the larger relative excess, and whether it is over limit."""
+    gap = F.col(actual) - F.col(predicted)
+    out = df.agg(F.avg(F.abs(gap)).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"))
+    worst = F.greatest((F.col("mae") - expected_mae) / expected_mae, (F.col("rmse") - expected_rmse) / expected_rmse)
+    return out.withColumn("degradation", worst).withColumn("has_drift", F.coalesce(worst > limit, F.lit(False)))
+
+
+def half_shapes(df: DataFrame, value: str, late: Column) -> DataFrame:
+    """Count, mean, deviation, skewness and excess kurtosis of a value's earlier and later part."""
+    parts = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "skew": F.skewness, "kurtosis": F.kurtosis}
+    return df.groupBy(late.alias("late")).agg(*[f(value).alias(n) for n, f in parts.items()])

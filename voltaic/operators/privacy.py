@@ -61,3 +61,31 @@ def lineage(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
         front = front.join(seen.select("start", "node"), ["start", "node"], "left_anti")
         seen = seen.unionByName(front)
     return seen
+
+
+def impact(edges: DataFrame, starts: DataFrame, depth: int = 10) -> DataFrame:
+    """(start, downstream, depth, impact): how many nodes follow each start, how far, and whether that is over 10 or 5."""
+    reached = lineage(edges, starts, depth).groupBy("start").agg((F.count("*") - 1).alias("downstream"), F.max("depth").alias("depth"))
+    return reached.withColumn("impact", F.when(F.col("downstream") > 10, "high").when(F.col("downstream") > 5, "medium").otherwise("low"))
+
+
+def request_overview(requests: DataFrame, kind: str, subject: str, done: str, due: str, as_of: str) -> DataFrame:
+    """Of each kind of request: how many, of how many subjects, completed, overdue on as_of, and the next that is due."""
+    late = ~F.col(done) & (F.col(due) < F.lit(as_of).cast("timestamp_ntz"))
+    return requests.groupBy(kind).agg(F.count("*").alias("requests"), F.count_distinct(subject).alias("subjects"), F.count_if(done).alias("completed"), F.count_if(late).alias("overdue"), F.min(F.when(~F.col(done), F.col(due))).alias("next_due"))
+
+
+def erase(df: DataFrame, subjects: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of df without those of the subjects; rows with a null key belong to nobody and stay."""
+    return df.join(subjects, keys, "left_anti")
+
+
+def export_subject(df: DataFrame, key: str, subject, private: list[str] = ()) -> DataFrame:
+    """All rows of one subject, without columns that are not the subject's own: for access and portability."""
+    return df.filter(F.col(key) == F.lit(subject)).drop(*private)
+
+
+def risk_points(tests: list[tuple[Column, int]]) -> Column:
+    """The points of all tests that hold; null tests give none."""
+    parts = [F.when(test, points).otherwise(0) for test, points in tests]
+    return sum(parts[1:], parts[0])

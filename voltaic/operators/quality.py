@@ -72,3 +72,50 @@ def orphans(child: DataFrame, parent: DataFrame, column: str, parent_column: str
     """Different child values without a parent."""
     values = child.select(F.col(column)).filter(F.col(column).isNotNull()).distinct()
     return values.join(parent.select(F.col(parent_column).alias(column)), column, "left_anti")
+
+
+#: The shapes of the format checks, from the start of the value on.
+FORMATS = {"email": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "phone": r"^\+?1?\d{9,15}"}
+
+
+def has_format(value: Column, kind: str) -> Column:
+    """Whether a value has a format: email, phone or date; nulls and unknown formats pass."""
+    if kind == "date":
+        return value.isNull() | F.try_to_timestamp(value).isNotNull()
+    return F.coalesce(value.rlike(FORMATS[kind]), F.lit(True)) if kind in FORMATS else F.lit(True)
+
+
+#: The share of each dimension in the weighted score.
+WEIGHTS = {"completeness": 0.25, "accuracy": 0.25, "consistency": 0.20, "validity": 0.15, "uniqueness": 0.10, "timeliness": 0.05}
+
+
+def combined_scores(scores: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """Weighted, geometric and harmonic means of the dimensions that scores has; a dimension of 0 makes the last two 0."""
+    held = {n: w for n, w in weights.items() if n in scores.columns}
+    total, n = sum(held.values()), float(len(held))
+    add = lambda parts: sum(parts[1:], parts[0])
+    least = F.least(*map(F.col, held)) if len(held) > 1 else F.col(next(iter(held)))
+    return scores.withColumns(
+        {
+            "weighted": add([F.col(c) * w for c, w in held.items()]) / F.lit(total),
+            "geometric": F.when(least > 0, F.exp(add([F.ln(F.when(F.col(c) > 0, F.col(c))) for c in held]) / F.lit(n))).otherwise(0.0),
+            "harmonic": F.when(least > 0, F.lit(n) / add([F.try_divide(F.lit(1.0), F.col(c)) for c in held])).otherwise(0.0),
+        }
+    )
+
+
+def column_report(df: DataFrame, columns: list[str], ranges: dict[str, tuple[float, float]], pass_at: float = 95.0) -> DataFrame:
+    """(check, column, share, passed) of the completeness of columns and the ranges of some, from one pass over df."""
+    total = F.count("*")
+    present = {("completeness", c): F.count(c) for c in columns}
+    inside = {("range", c): F.count_if(F.coalesce(F.col(c).between(*b), F.lit(True))) for c, b in ranges.items()}
+    checks = present | inside
+    one = df.agg(F.array(*[F.struct(F.lit(kind).alias("check"), F.lit(c).alias("column"), F.coalesce(F.try_divide(n * 100.0, total), F.lit(100.0)).alias("share")) for (kind, c), n in checks.items()]).alias("_r"))
+    return one.select(F.explode("_r").alias("r")).select("r.*", (F.col("r.share") >= pass_at).alias("passed"))
+
+
+def without_outliers_in_turn(df: DataFrame, columns: list[str], method: str = "iqr", limit: float = 1.5) -> DataFrame:
+    """Outliers of one column after the other are removed; each column's bounds come from the rows the earlier ones left."""
+    for c in columns:
+        df = without_outliers(df, c, method, limit)
+    return df

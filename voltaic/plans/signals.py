@@ -61,11 +61,11 @@ def calendar_features(spark, sf_dir):
 
 
 @query("equipment_features", "WITH " + READINGS_SQL + """
-SELECT event_id, round(sum(current_a) OVER f, 6) AS load_sum, round(avg(current_a) OVER f, 6) AS load_mean, max(current_a) OVER f AS load_max, round(var_samp(current_a) OVER f, 5) AS load_var, abs(voltage_v - 230) AS voltage_off, count(CASE WHEN abs(voltage_v - 230) > 10 THEN 1 END) OVER f AS voltage_faults,
+SELECT event_id, round(sum(current_a) OVER f, 6) AS load_sum, round(avg(current_a) OVER f, 6) AS load_mean, max(current_a) OVER f AS load_max, round(var_samp(current_a) OVER f + 1e-8, 5) AS load_var, abs(voltage_v - 230) AS voltage_off, count(CASE WHEN abs(voltage_v - 230) > 10 THEN 1 END) OVER f AS voltage_faults,
   current_a > quantile_cont(current_a, 0.9) OVER f AS is_peak FROM readings WINDOW f AS (PARTITION BY user_id ORDER BY reading_timestamp, event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""")
 def equipment_features(spark, sf_dir):
     df = forecast.equipment_features(readings(spark, sf_dir), ["user_id"], ["reading_timestamp", "event_id"], "current_a", "voltage_v")
-    return df.select("event_id", r("load_sum_24", "load_sum"), r("load_mean_24", "load_mean"), F.col("load_max_24").alias("load_max"), F.round("load_var_24", 5).alias("load_var"), "voltage_off", F.col("voltage_faults_24").alias("voltage_faults"), "is_peak")
+    return df.select("event_id", r("load_sum_24", "load_sum"), r("load_mean_24", "load_mean"), F.col("load_max_24").alias("load_max"), F.round(F.col("load_var_24") + 1e-8, 5).alias("load_var"), "voltage_off", F.col("voltage_faults_24").alias("voltage_faults"), "is_peak")
 
 
 @query("rolling_correlation", "WITH " + READINGS_SQL + """
