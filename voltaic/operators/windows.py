@@ -76,11 +76,12 @@ def global_outliers(df: DataFrame, column: str) -> DataFrame:
     """z over the whole table, percent rank with average ties, and the 1.5 IQR flag.
 
     Statistics come from one aggregate, ranks from counts of each value: no window holds the whole table's rows, only
-    one row for each different value.
+    one row for each different value. Rows whose value is null stay, have no rank and don't count: z, pct_rank and the
+    flag are null.
     """
     stats = df.agg(F.avg(column).alias("_m"), F.stddev(column).alias("_s"), F.count(column).alias("_n"), F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    counts = df.groupBy(column).agg(F.count("*").alias("_ties"))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_ties"))
     ranks = counts.withColumn("_below", F.coalesce(F.sum("_ties").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     x, spread = F.col(column), (F.col("_q")[1] - F.col("_q")[0]) * 1.5
-    out = df.join(ranks, column).crossJoin(F.broadcast(stats))  # stats is one row
+    out = df.join(ranks, column, "left").crossJoin(F.broadcast(stats))  # stats is one row
     return out.withColumns({"z": (x - F.col("_m")) / F.col("_s"), "pct_rank": (F.col("_below") + (F.col("_ties") + 1) / 2) / F.col("_n"), "is_iqr_outlier": (x < F.col("_q")[0] - spread) | (x > F.col("_q")[1] + spread)}).drop("_m", "_s", "_n", "_q", "_ties", "_below")
