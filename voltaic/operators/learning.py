@@ -113,8 +113,9 @@ def mahalanobis(df: DataFrame, first: str, second: str) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).withColumn("distance", F.sqrt(square)).select(*df.columns, "distance")
 
 
-def component_drift(reference: DataFrame, current: DataFrame, columns: list[str], components: int = 2) -> DataFrame:
-    """(component, ks): how far two samples differ along the principal components of the scaled reference."""
+def component_drift(reference: DataFrame, current: DataFrame, columns: list[str], components: int | None = None) -> DataFrame:
+    """(component, ks): how far two samples differ along the principal components of the scaled reference; all, up to 10, by default."""
+    components = min(10, len(columns)) if components is None else components
     fit = Pipeline(stages=[*prepared(reference, columns).getStages(), PCA(k=components, inputCol="features", outputCol="_parts")]).fit(reference)
     parts = lambda df: fit.transform(df).select(vector_to_array("_parts").alias("_p"))
     one = lambda i: drift.kolmogorov_smirnov(parts(reference).select(F.col("_p")[i].alias("x")), parts(current).select(F.col("_p")[i].alias("x")), "x").withColumn("component", F.lit(i))
