@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from voltaic.llm import components, langid, mixing, packing, quality, queries, simhash, substrings, tokens, topk, toxicity, webp
+from voltaic.llm import components, langid, mixing, packing, quality, queries, simhash, substrings, tokens, topk, webp
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "a", "A.", "ab\tc\n d\x0be\r\x0c", "é ü 日本語 😀", "x" * 5000, "no yes " * 900, "<|endoftext|> <|startoftext|>", "\x1c\x1d a b", "a", "a"]
@@ -263,37 +263,6 @@ def test_language(spark, odd, none):
     assert langid.predict(none, model).count() == 0
 
 
-def brute_segments(s):
-    """Maximal segments by their definition: split around the best segment again and again."""
-    best = max(((sum(s[i:j]), -(j - i), -i, i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0,))
-    if best[0] <= 0:
-        return []
-    _, _, _, i, j = best
-    return [*brute_segments(s[:i]), (i, j - 1, best[0]), *[(a + j, b + j, x) for a, b, x in brute_segments(s[j:])]]
-
-
-def test_maximal_segments():
-    rng = np.random.default_rng(4)
-    for _ in range(200):
-        s = rng.integers(-4, 5, rng.integers(1, 14)) + rng.random() * 1e-3
-        s = s + rng.random(len(s)) * 1e-3
-        got = toxicity.maximal_segments(s)
-        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in brute_segments(list(s))]
-
-
-def test_toxicity(spark, odd, none):
-    sf = "/root/testdata/sf0.1"
-    got = queries.toxicity_scores(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
-    y, s = np.array([r.toxic for r in got]), np.array([r.score for r in got])
-    order = np.argsort(np.argsort(s)) + 1
-    auc = (order[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
-    flagged = s >= 0.7
-    assert auc > 0.9 and (y[flagged] == 1).mean() > 0.9 and flagged[y == 1].mean() > 0.7
-    model = toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert toxicity.score(odd, model).filter("tox_predicted = 1").count() == 0 and toxicity.score(none, model).count() == 0
-    assert toxicity.score(odd, model).columns[: len(odd.columns)] == odd.columns
-
-
 def test_quality(spark, odd, none):
     sf = "/root/testdata/sf0.1"
     got = queries.quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()

@@ -1,21 +1,25 @@
 """Toxicity by maximum-scoring segments.
 
-A token's score is its log-odds (of the texts that hold it) between toxic and clean training texts under an informative Dirichlet prior (the
-sample's frequency; a rare token takes that of its beginning), less a drift that makes clean text score below zero. One scan finds every maximal scoring segment
-of a text. The chance that clean text of that length holds a segment as good follows an extreme-value law; a text's
-evidence is the sum over its segments of what they exceed that law by, and a logistic curve fitted on the training
-texts turns evidence into a score.
+A token's score is its log-odds between toxic and clean training texts, by counts of tokens (MOST_A_TEXT a text at most, so that no text decides
+alone) under a Dirichlet prior: the prior of a token is the split of its beginning, that of a beginning the next shorter
+one's, and at last that of all tokens. Only a split that differs from its prior's for sure is kept; a word takes that of
+itself or else of its longest kept beginning. Less a drift, clean text scores below zero. One scan finds every maximal
+scoring segment of a text. The chance that clean text of that length holds a segment as good follows an extreme-value
+law; a text's evidence is the sum over its segments of what they exceed that law by, and a logistic curve turns evidence
+into a score. Law and curve are fitted on training texts that the scores they see were not learnt from (FOLDS folds).
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,22 +34,30 @@ def token(word: str) -> str:
 
 #: Lengths of a token's beginnings that stand for tokens seen too seldom; such an entry is written with a star.
 BEGINNINGS = (6, 5, 4, 3)
+#: A token counts so often in one text at most.
+MOST_A_TEXT = 10
+FOLDS = 4
+LAW_AT = 0.98
 
 
-def beginnings(name: str) -> list[str]:
-    return [name[:n] + "*" for n in BEGINNINGS if len(name) >= n]
+def chain(name: str) -> list[str]:
+    """The token and its beginnings, from the longest to the shortest; each is the child of the next."""
+    return [name, *(name[:n] + "*" for n in BEGINNINGS if len(name) >= n)]
 
 
 @dataclass
 class Model:
     scores: dict[str, float]  #: of tokens and their beginnings; others score -drift
     drift: float
-    scale: float  #: lambda of the extreme-value law
-    shift: float  #: ln K of it
-    slope: float = 1.0
-    offset: float = 0.0
+    scale: float = 1.0  #: lambda of the extreme-value law
+    shift: float = 0.0  #: ln K of it
+    slope: float = 0.0
+    offset: float = -40.0
     known: dict[str, float] = field(default_factory=dict)
 
+    def name_score(self, name: str) -> float:
+        return next((self.scores[x] for x in chain(name) if x in self.scores), -self.drift)
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         try:
             return np.array(list(map(self.known.__getitem__, words)))
@@ -53,9 +65,8 @@ class Model:
             pass
         if len(self.known) > _CACHE:
             self.known.clear()
-        for w in [w for w in set(words) if w not in self.known]:
-            name = token(w)
-            self.known[w] = next((self.scores[x] for x in (name, *beginnings(name)) if x in self.scores), -self.drift)
+        for w in set(words).difference(self.known):
+            self.known[w] = self.name_score(token(w))
         out = np.array(list(map(self.known.__getitem__, words)))
         for w in [w for w in set(words) if len(w) > 256]:
             del self.known[w]
@@ -117,38 +128,56 @@ def _labelled(df: DataFrame, labels: DataFrame, most: int, id_col: str, text_col
     return rows.join(F.broadcast(known), "id").select("text", "label")
 
 
-def fit(df: DataFrame, labels: DataFrame, most_rows: int = 40_000, most_tokens: int = 50_000, prior: float = 500.0, drift: float = 0.5, least_count: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from labels (id, label 0 or 1). most_rows: about so many labelled rows are used, chosen by hash of the id;
-    most_tokens: so many tokens are kept, those whose log-odds are surest. Without rows of both labels every text scores
-    0 (no token then has a score)."""
-    sample = _labelled(df, labels, most_rows, id_col, text_col, label_col).distinct().persist()
+def _tallies(sample: DataFrame) -> DataFrame:
+    """(token, parent, y0, y1 and, of those, y0_k and y1_k in fold k) of tokens and beginnings, and of "" for all tokens."""
+    each = [f"y{label}_{k}" for k in range(FOLDS) for label in (0, 1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tally: dict[str, list[int]] = {}
+            parents: dict[str, str] = {"": ""}
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                names = set(map(token, text.split()))
-                for name in names.union(*map(beginnings, names)):
-                    tally.setdefault(name, [0, 0])[label == 1] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.int64())], ["token", "clean", "toxic"])
-
-    tokens = sample.mapInArrow(count, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("y0"), F.sum("toxic").alias("y1")).persist()
-    whole = ~F.col("token").endswith("*")
-    n0, n1 = (float(x or 0) for x in tokens.filter(whole).agg(F.sum("y0"), F.sum("y1")).first())
-    if not n0 or not n1:
-        return Model({}, drift, 1.0, 0.0, 0.0, -40.0)
-    share = prior * (F.col("y0") + F.col("y1")) / (n0 + n1)
-    a1, a0 = F.col("y1") + share, F.col("y0") + share
-    delta = F.log(a1 / (n1 + prior - a1)) - F.log(a0 / (n0 + prior - a0))
-    surest = tokens.filter((F.col("token") != "") & (F.col("y0") + F.col("y1") >= least_count)).select("token", "y0", delta.alias("delta"), (delta / F.sqrt(1 / a1 + 1 / a0)).alias("z"))
-    rows = surest.orderBy(F.desc(F.abs("z")), "token").limit(most_tokens).collect()
-    # what is not significant says nothing; a beginning needs more evidence, as there are many
-    scores = {r["token"]: r["delta"] - drift for r in rows if abs(r["z"]) > (3.0 if r["token"].endswith("*") else 2.0)}
-    seen = [(r["y0"], scores[r["token"]]) for r in rows if r["token"] in scores and not r["token"].endswith("*")]
-    mass, values = np.array([y for y, _ in seen]) / n0, np.array([v for _, v in seen])
-
-    def total(scale: float) -> float:  # the expected exp(scale * score) of a clean word, less 1
-        return float((mass * np.exp(np.minimum(scale * values, 600))).sum() + (1 - mass.sum()) * math.exp(-scale * drift) - 1)
+                column = (label == 1) + 2 * fold(text)
+                names: dict[str, int] = {}
+                for word, times in Counter(text.split()).items():
+                    name = token(word)
+                    names[name] = names.get(name, 0) + times
+                names.pop("", None)
+                counts = {"": sum(min(n, MOST_A_TEXT) for n in names.values())}
+                for name, times in names.items():
+                    line = chain(name)
+                    parents.update(zip(line, [*line[1:], ""], strict=True))
+                    for x in line:
+                        counts[x] = counts.get(x, 0) + times
+                for x, times in counts.items():
+                    tally.setdefault(x, [0] * len(each))[column] += times if x == "" else min(times, MOST_A_TEXT)
+            numbers = np.array(list(tally.values()), np.int64).reshape(-1, len(each))
+            columns = [pa.array(list(tally), pa.string()), pa.array([parents[x] for x in tally], pa.string()), *(pa.array(numbers[:, k]) for k in range(len(each)))]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "parent", *each])
+
+    counted = sample.mapInArrow(count, "token string, parent string, " + ", ".join(f"{c} long" for c in each))
+    summed = counted.groupBy("token").agg(F.min("parent").alias("parent"), *(F.sum(c).alias(c) for c in each))
+    return summed.withColumns({f"y{label}": sum((F.col(c) for c in each[label::2][1:]), F.col(each[label])) for label in (0, 1)})
+
+
+def fold(text: str) -> int:
+    return zlib.crc32(text.encode()) % FOLDS
+
+
+def _log_odds(y0: Column, y1: Column, p0: Column, p1: Column, share: float, prior: float, least_count: int, least_z: float) -> Column:
+    """Log-odds of a token counted y0, y1 times whose parent was counted p0, p1 times; null unless they surely differ."""
+    n, expected = y0 + y1, (p1 + prior * share) / (p0 + p1 + prior)
+    part = lambda y, e: F.when(y > 0, y * F.log(y / (n * e))).otherwise(0.0)
+    ratio = 2 * (part(y1, expected) + part(y0, 1 - expected))
+    q = (y1 + prior * expected) / (n + prior)
+    return F.when((n >= least_count) & (ratio >= least_z**2), F.log(q / (1 - q)) - math.log(share / (1 - share)))
+
+
+def _scale(values: np.ndarray, mass: np.ndarray) -> float:
+    """The positive solution of E exp(scale * score) = 1 for the scores of clean words; 64 at most."""
+
+    def total(scale: float) -> float:
+        return float((mass * np.exp(np.minimum(scale * values, 600))).sum() - mass.sum())
 
     low, high = 1e-3, 1.0
     while total(high) < 0 and high < 64:
@@ -156,28 +185,80 @@ def fit(df: DataFrame, labels: DataFrame, most_rows: int = 40_000, most_tokens:
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if total(middle) < 0 else (low, middle)
-    model = Model(scores, drift, high, 0.0)
+    return high
+
+
+def fit(
+    df: DataFrame, labels: DataFrame, most_rows: int = 40_000, prior: float = 2.0, drift: float = 0.5, least_count: int = 3, least_z: float = 3.0,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+) -> Model:
+    """Learn from labels (id, label 0 or 1). most_rows: about so many labelled rows are used, chosen by hash of the id.
+    prior: how many tokens the prior weighs as; least_z: how sure (as a normal deviate) a split must differ from its
+    prior's to be kept. Without rows of both labels every text scores 0 (no token then has a score).
+
+    What comes to the driver is bounded by most_rows: the kept splits and each sampled text's segment scores.
+    """
+    sample = _labelled(df, labels, most_rows, id_col, text_col, label_col).distinct().persist()
+    tallies = _tallies(sample).filter(F.col("y0") + F.col("y1") >= least_count).persist()
+    all_tokens = tallies.filter(F.col("token") == "").first()
+    if all_tokens is None or not all_tokens["y0"] or not all_tokens["y1"]:
+        return Model({}, drift)
+    # the counts that each model does without: none, then those of a fold
+    parts = [(None, None), *((f"y0_{k}", f"y1_{k}") for k in range(FOLDS))]
+    left = [tuple(all_tokens[y] - (all_tokens[less] if less else 0) for y, less in zip(("y0", "y1"), part, strict=True)) for part in parts]
+    if not all(min(pair) > 0 for pair in left):  # without some fold a label is missing: no folds
+        parts, left = parts[:1], left[:1]
+    names = [c for c in tallies.columns if c.startswith("y")]
+    parents = tallies.select(F.col("token").alias("parent"), *(F.col(c).alias(f"p_{c}") for c in names))
+    both = tallies.filter(F.col("token") != "").join(parents, "parent")
+    counts = lambda of, part: [F.col(of + y) - (F.col(of + less) if less else F.lit(0)) for y, less in zip(("y0", "y1"), part, strict=True)]
+    odds = [
+        _log_odds(*counts("", part), *counts("p_", part), n1 / (n0 + n1), prior, least_count, least_z).alias(f"d{k}")
+        for k, (part, (n0, n1)) in enumerate(zip(parts, left, strict=True))
+    ]
+    rows = both.select("token", *odds).filter(F.coalesce(*(f"d{k}" for k in range(len(parts)))).isNotNull()).collect()
+    models = [Model({r["token"]: r[f"d{k}"] - drift for r in rows if r[f"d{k}"] is not None}, drift) for k in range(len(parts))]
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, n = batch.column(0).to_pylist(), batch.column(1)
+            for k, model in enumerate(models):
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(names), pa.int32()), pa.array([model.name_score(x) for x in names], pa.float64()), n], ["k", "score", "n"])
+
+    whole = tallies.filter(~F.col("token").endswith("*") & (F.col("token") != "")).select("token", "y0")
+    masses = whole.mapInArrow(weigh, "k int, score double, n long").groupBy("k", "score").agg(F.sum("n").alias("n")).toPandas()
+    rest = all_tokens["y0"] - masses[masses["k"] == 0]["n"].sum()  # tokens too rare to be counted score as unknown ones
+    for k, model in enumerate(models):
+        own = masses[masses["k"] == k]
+        model.scale = _scale(np.r_[own["score"], -drift], np.r_[own["n"], rest])
+    folded = len(models) > 1
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            folds, sizes, rows = [], [], []
             for text in batch.column(0).to_pylist():
-                s = model.word_scores(text.split())
-                rows.append([model.scale * x for _, _, x in maximal_segments(s)] or [0.0])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([max(1, len(t.split())) for t in batch.column(0).to_pylist()], pa.int64()), pa.array(rows, pa.list_(pa.float64()))], ["label", "n", "s"])
-
-    fitted = sample.mapInArrow(best, "label int, n long, s array<double>").toPandas()
+                folds.append(k := 1 + fold(text) if folded else 0)  # the model that has not seen it
+                words = text.split()
+                sizes.append(len(words))
+                rows.append([x for _, _, x in maximal_segments(models[k].word_scores(words))])
+            columns = [batch.column(1), pa.array(folds, pa.int32()), pa.array(sizes, pa.int64()), pa.array(rows, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "k", "n", "s"])
+
+    fitted = sample.mapInArrow(best, "label int, k int, n long, s array<double>").toArrow()
     sample.unpersist()
-    tokens.unpersist()
-    top = np.array([max(s) for s in fitted["s"]])
-    clean = (fitted["label"] != 1).to_numpy()
-    # K from the tail: one clean text in a hundred lies over the law's hundredth
-    model.shift = float(np.quantile(top[clean] - np.log(fitted["n"].to_numpy()[clean]), 0.99)) + math.log(-math.log(0.99))
-    law = model.shift + np.log(fitted["n"].to_numpy())
-    x = np.log1p([sum(v - limit for v in s if v > limit) for s, limit in zip(fitted["s"], law, strict=True)])
-    y = (~clean).astype(float)
-    slope, offset = _logistic(x, y)
-    model.slope, model.offset, model.known = float(slope), float(offset), {}
+    tallies.unpersist()
+    labels_seen, by, sizes = (fitted[c].to_numpy() for c in ("label", "k", "n"))
+    scores = [np.asarray(s.values) for s in fitted["s"]]
+    scales = np.array([m.scale for m in models])[by]
+    clean = labels_seen != 1
+    top = scales * np.array([max(s, default=0.0) for s in scores]) - np.log(np.maximum(1, sizes))
+    model = models[0]
+    # K from the tail: a share 1 - LAW_AT of the clean texts lies over the law's value for it
+    model.shift = float(np.quantile(top[clean], LAW_AT)) + math.log(-math.log(LAW_AT))
+    law = model.shift + np.log(np.maximum(1, sizes))
+    x = np.log1p([np.maximum(0, scale * s - limit).sum() for s, scale, limit in zip(scores, scales, law, strict=True)])
+    model.slope, model.offset = _logistic(x, (~clean).astype(float))
+    model.known = {}
     return model
 
 
