@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pytest
@@ -248,6 +249,19 @@ def test_substrings(spark, docs, none):
     assert substrings.dedup_substrings(none).count() == 0
 
 
+def test_the_automata_locate(spark, docs, monkeypatch):
+    """Without their phrases nothing is located; a shard finds phrases in texts that it was not built from."""
+    removed = lambda: substrings.dedup_substrings(docs, block_bytes=50_000).filter("n_removed > 0 and n_removed < n_words").count()
+    assert removed() > 0
+    with monkeypatch.context() as m:
+        m.setattr(substrings, "automaton", lambda phrases: ahocorasick.Automaton())
+        assert removed() == 0
+    words = lambda n: [f"w{i * i % 97}" for i in range(n)]
+    one, other = (substrings.Words([" ".join(x).encode()]) for x in (words(60), [*"ab", *words(50), *"cd"]))
+    shard = substrings.automaton(one.phrase_words(one.phrases)[1])
+    assert set(range(2, 18)) <= set(other.located(shard).tolist()) and not len(other.located(substrings.automaton([])))
+
+
 # ---- classifiers
 
 

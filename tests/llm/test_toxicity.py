@@ -71,7 +71,7 @@ def test_scores_are_those_of_the_definition(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, tox_score string")
     model = toxicity.fit(df, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
     want = log_odds({(t, y) for _, t, y in rows}, 2.0, 3, 3.0)
-    assert model.scores == pytest.approx({k: v - 0.5 for k, v in want.items()}) and any(k.startswith("clod") for k in want)
+    assert model.scores == pytest.approx({k: v - 0.5 for k, v in want.items()}) and "clo*" in want
     clean = [toxicity.token(w) for _, t, y in rows if not y for w in t.split()]
     value = lambda w: next((want[x] for x in (w, *(w[:n] + "*" for n in (6, 5, 4, 3) if len(w) >= n)) if x in want), 0.0) - 0.5
     assert np.mean([math.exp(model.scale * value(w)) for w in clean]) == pytest.approx(1, abs=0.2)

@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_LOCAL: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a fresh local one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share (spark.checkpoint.dir); a fresh local one where it is unset and all
+    tasks run in this process. A cluster without that setting is refused: its executors could not read each other's files."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="voltaic-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="voltaic-")
     return folder.rstrip("/")
 
 
@@ -34,12 +38,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a frame made by cut(), once nothing reads it any more."""
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """df written once, dealt by column into buckets in the shared folder: grouping by column needs no further shuffle."""
     spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    called = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{called}"
+    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).saveAsTable(called)
+    return spark.table(called)
+
+
+def drop_cut(*frames: DataFrame) -> None:
+    """Delete the files behind frames made by cut() or bucketed(), once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            spark.sql(f"DROP TABLE IF EXISTS `{path.getName()}`")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,14 +1,14 @@
 """Substring dedup: words covered by a passage of WINDOW words that occurs elsewhere too.
 
 Every window of WINDOW words contains PHRASE-word phrases, and the one with the least hash represents it, so equal
-windows have equal representatives. Representatives that recur in the corpus are the candidate phrases. Texts are
-dealt to blocks of bounded bytes; each block compiles the recurring phrases that can occur in it into an
-Aho-Corasick automaton (a shard: no block needs another's phrases) and streams its whole texts through it to
-locate every occurrence. Windows whose representative was located are counted over the corpus by a 128-bit key;
-those that occur twice are confirmed, and the words they cover go.
+windows have equal representatives. Representatives that recur in the corpus are the phrases to look for: the words of
+each are taken once, from one block of texts that holds it, and sent to every block that may. There a block's phrases are compiled into
+an Aho-Corasick automaton (a shard: no block needs another's phrases) through which its whole texts stream. Only where
+the automaton locates a phrase are windows considered: those that it represents are counted over the corpus by a
+128-bit key, and those that occur twice are confirmed; the words they cover go.
 
 Equal texts are one text with a count: copies are combined before any shuffle, and a text that has a copy is all
-repeated. Texts are known by a 128-bit key.
+repeated. Texts are known by a 128-bit key. They are dealt once to blocks of bounded bytes, in a bucketed table.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltaic.llm._common import cut
+from voltaic.llm._common import bucketed, cut, drop_cut, shuffle_partitions
 
 WINDOW, PHRASE = 35, 18
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 1 << 20
-_BATCH_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+_BATCH_BYTES = 1 << 19
 
 _ODD1, _ODD2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd, so they have inverses
 _BYTE = np.random.default_rng(35).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -105,25 +105,30 @@ class Words:
             out = np.maximum(out, shift(out, span - width))
         return np.flatnonzero((out == self.phrases) & (out > 0))
 
-    def located(self, recurring: np.ndarray) -> np.ndarray:
-        """Windows whose representative phrase is recurring, as found by an automaton of such phrases' words."""
-        at = self.chosen()
-        at = at[np.isin(self.phrases[at], recurring)]
-        if not len(at):
-            return at
-        # words joined by one blank, blanks around; a character is a byte
-        lengths = self.ends - self.starts
-        after = np.cumsum(lengths + 1) + 1  # where the next word begins
-        begin = after - lengths - 1
+    def joined(self) -> tuple[str, np.ndarray]:
+        """The words joined by one blank, blanks around, a character for each byte; and where after each word the next would begin."""
         raw = np.frombuffer(self.buffer, np.uint8)
         word = ~_BLANK[raw]
         keep = word | np.r_[False, word[:-1]]
-        joined = np.where(word, raw, 32)[keep].astype(np.uint8).tobytes()
-        text = " " + joined.decode("latin-1")
-        shard = ahocorasick.Automaton()
-        for phrase in dict.fromkeys(text[a - 1 : b] for a, b in zip(begin[at].tolist(), after[at + self.phrase - 1].tolist(), strict=True)):
-            shard.add_word(phrase, 1)
-        shard.make_automaton()
+        text = np.where(word, raw, 32)[keep].astype(np.uint8).tobytes().decode("latin-1")
+        return " " + text, np.cumsum(self.ends - self.starts + 1) + 1
+
+    def phrase_words(self, hashes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """The hashes that phrases of these words have, and the words of one such phrase each, blanks around."""
+        at = self.chosen()
+        found, first = np.unique(self.phrases[at], return_index=True)
+        here = np.isin(found, hashes)
+        found, at = found[here], at[first[here]]
+        text, after = self.joined()
+        begin = np.r_[1, after[:-1]]
+        spans = zip((begin[at] - 1).tolist(), after[at + self.phrase - 1].tolist(), strict=True)
+        return found, [text[a:b].encode("latin-1") for a, b in spans]
+
+    def located(self, shard: ahocorasick.Automaton) -> np.ndarray:
+        """Windows whose representative phrase the automaton locates."""
+        if shard.kind != ahocorasick.AHOCORASICK or not len(self.starts):
+            return np.zeros(0, np.int64)
+        text, after = self.joined()
         found = np.fromiter((end for end, _ in shard.iter(text)), np.int64)
         seen = np.zeros(len(self.starts), bool)
         seen[np.searchsorted(after, found + 1) - self.phrase + 1] = True
@@ -131,6 +136,15 @@ class Words:
         return np.flatnonzero(self.valid & (self._least(values) == self.least))
 
 
+def automaton(phrases: list[bytes]) -> ahocorasick.Automaton:
+    """A shard that locates these phrases (words with blanks around) in joined words."""
+    shard = ahocorasick.Automaton()
+    for phrase in phrases:
+        shard.add_word(phrase.decode("latin-1"), 1)
+    shard.make_automaton()
+    return shard
+
+
 def _groups(texts: list[bytes]) -> Iterator[list[int]]:
     group, size = [], 0
     for i, t in enumerate(texts):
@@ -156,9 +170,13 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), text.alias("text")).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("b"), F.col("text"))})
 
 
-def repeated_passages(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated_passages(
+    df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES, with_text: bool = True,
+) -> DataFrame:
     """One row for each different text: t1, t2 (its key), n_words, n_removed, kept_sha256, and, if words go, kept_text
-    (the words that stay, joined by one blank) and spans (first and last removed word of each stretch, from 0)."""
+    (the words that stay, joined by one blank; only if with_text) and spans (first and last removed word of each
+    stretch, from 0)."""
     keyed = _keyed(df, id_col, text_col)
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -184,9 +202,8 @@ def repeated_passages(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     described = keyed.select("text", "t1", "t2").mapInArrow(describe, "t1 long, t2 long, copies long, phrases array<long>")
     texts = cut(described.groupBy("t1", "t2").agg(F.sum("copies").alias("copies"), F.first("phrases", ignorenulls=True).alias("phrases")), "texts")
     places = texts.select(block.alias("block"), F.explode("phrases").alias("phrase")).groupBy("phrase", "block").agg(F.count("*").alias("n"))
-    places = cut(places, "phrases")
-    recurring = places.groupBy("phrase").agg(F.sum("n").alias("n")).filter("n > 1").select("phrase")
-    wanted = places.join(recurring, "phrase").select("block", "phrase")
+    places = cut(places, "places")
+    recurring = places.groupBy("phrase").agg(F.sum("n").alias("n"), F.min("block").alias("block")).filter("n > 1").select("block", "phrase")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
@@ -196,21 +213,38 @@ def repeated_passages(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
             yield batch.take(pa.array(new, pa.int64()))
 
     once_texts = keyed.select("text", "t1", "t2").mapInArrow(once, "text string, t1 long, t2 long").withColumn("block", block)
+    dealt = bucketed(once_texts, "blocks", "block", max(shuffle_partitions(df.sparkSession), total >> 27))
 
-    def locate(left: pa.Table, right: pa.Table) -> pa.Table:
+    def unique(left: pa.Table) -> tuple[list[tuple], list[bytes]]:
+        """The keys and texts of a block, each once."""
         keys = list(zip(left["t1"].to_pylist(), left["t2"].to_pylist(), strict=True))
         new = list(dict(zip(reversed(keys), reversed(range(len(keys))), strict=True)).values())
-        texts = left["text"].take(pa.array(new, pa.int64())).cast(pa.large_binary()).to_pylist()
-        phrases = right["phrase"].to_numpy().view(np.uint64)
+        return [keys[i] for i in new], left["text"].take(pa.array(new, pa.int64())).cast(pa.large_binary()).to_pylist()
+
+    def extract(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: dict[int, bytes] = {}
+        if right.num_rows:
+            texts, hashes = unique(left)[1], right["phrase"].to_numpy().view(np.uint64)
+            for group in _groups(texts):
+                found, spans = Words([texts[i] for i in group], window, phrase).phrase_words(hashes)
+                rows |= zip(found.view(np.int64).tolist(), spans, strict=True)
+        return pa.table([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], ["phrase", "words"])
+
+    spelled = cut(dealt.groupBy("block").cogroup(recurring.groupBy("block")).applyInArrow(extract, "phrase long, words binary"), "phrases")
+    wanted = places.join(spelled, "phrase").select("block", "words")
+
+    def locate(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, texts = unique(left)
+        shard = automaton(right["words"].to_pylist())
         rows: dict[str, list] = {c: [] for c in ("t1", "t2", "n_words", "sha", "text", "starts", "keys", "marks")}
         for group in _groups(texts):
             words = Words([texts[i] for i in group], window, phrase)
-            at = words.located(phrases) if len(phrases) else np.zeros(0, np.int64)
+            at = words.located(shard)
             each, hashes = np.searchsorted(at, words.first), words.windows()
             for j, i in enumerate(group):
                 mine = at[each[j] : each[j + 1]]
-                rows["t1"].append(keys[new[i]][0])
-                rows["t2"].append(keys[new[i]][1])
+                rows["t1"].append(keys[i][0])
+                rows["t2"].append(keys[i][1])
                 rows["n_words"].append(int(words.first[j + 1] - words.first[j]))
                 rows["sha"].append(hashlib.sha256(b" ".join(texts[i].split())).hexdigest())
                 rows["text"].append(texts[i].decode() if len(mine) else None)
@@ -220,8 +254,9 @@ def repeated_passages(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], list(rows))
 
-    located = once_texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(locate, "t1 long, t2 long, n_words long, sha string, text string, starts array<int>, keys array<long>, marks array<long>")
+    located = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(locate, "t1 long, t2 long, n_words long, sha string, text string, starts array<int>, keys array<long>, marks array<long>")
     located = cut(located, "located")
+    drop_cut(dealt, places, spelled)
     spots = located.filter(F.size("starts") > 0).select("t1", "t2", F.explode(F.arrays_zip("starts", "keys", "marks")).alias("w")).select("t1", "t2", F.col("w.starts").alias("start"), F.col("w.keys").alias("key"), F.col("w.marks").alias("mark"))
     confirmed = spots.groupBy("key", "mark").agg(F.count("*").alias("n")).filter("n > 1").select("key", "mark")
     confirmed = cut(confirmed, "confirmed")
@@ -251,7 +286,10 @@ def repeated_passages(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True))], ["t1", "t2", "n_words", *rows])
 
-    return known.mapInArrow(judge, "t1 long, t2 long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<first: long, last: long>>")
+    judged = known.mapInArrow(judge, "t1 long, t2 long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<first: long, last: long>>")
+    passages = cut(judged if with_text else judged.drop("kept_text"), "passages")
+    drop_cut(located, confirmed, hits, texts)
+    return passages
 
 
 def dedup_substrings(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -261,6 +299,6 @@ def dedup_substrings(df: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     A null or empty text has no words; texts shorter than a window keep all; repeated rows are copies of each other,
     so they lose all their windows; null ids are kept as such; an empty table gives an empty one.
     """
-    passages = cut(repeated_passages(df, window, phrase, id_col, text_col, **options).drop("kept_text"), "passages")
+    passages = repeated_passages(df, window, phrase, id_col, text_col, with_text=False, **options)
     rows = _keyed(df, id_col, text_col).select("id", "t1", "t2")
     return rows.join(passages, ["t1", "t2"]).select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", "spans")
