@@ -170,6 +170,20 @@ def test_mixing(spark, odd, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mixing_repeated_rows_and_long_texts(spark):
+    """Each source comes within one small document of its target, however often rows repeat and wherever long ones rank."""
+    rows = [(i % 4, "a", "w " * (3 + i % 4)) for i in range(160)] + [(100 + i, "b", "w " * (400 if i % 50 == 0 else 5)) for i in range(300)]
+    df = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows + rows[-9:])], "doc_id long, source string, text string, nr long, size string")
+    got = mixing.mix_sources(df, row_col="nr").collect()
+    assert sorted(r.nr for r in got) == list(range(len(rows) + 9))
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 5 and all(r.taken == r.copies * r.size <= 3 * r.size for r in own)
+    seeds = [{r.doc_id: r.copies for r in mixing.mix_sources(df, seed=s).collect() if r.source == "b"} for s in range(4)]
+    long, short = (np.mean([[d[100 + i] for i in range(300) if (i % 50 == 0) == big] for d in seeds]) for big in (True, False))
+    assert long > short  # inclusion differs by size
+
+
 def test_targets_stop_at_the_cap(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 10), ("c", 1), (None, 5)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}

@@ -1,9 +1,13 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
 A source's target divided by its size is the number of copies expected of each of its documents: the whole part is
-certain, the rest is an inclusion probability. Documents are ranked by their random odds divided by their inclusion
-odds, and each source takes its ranking up to the words it still needs. The cut through the ranking is found by
-histograms of the rank (two levels of BUCKETS), so no task ever sorts a whole source.
+certain. The rest, p, is shared out unequally, longer documents being likelier than short ones, which are left to fill
+gaps: with z = size / (m + size) for the source's mean size m, and the mean of z over the source's words,
+a document's inclusion probability is p + p (1 - p) (z - mean). It lies between 0 and 1, and the words expected are
+those needed. Documents are ranked by their random odds divided by their inclusion odds, and each source takes its
+ranking up to the words it needs: the sample's size is fixed in words, which is what targets are given in. What doesn't
+fit is passed over, in ROUNDS rounds; then one document closes the gap. The cut through the
+ranking is found by histograms of the rank (two levels of BUCKETS), so no task ever sorts a whole source.
 """
 
 from __future__ import annotations
@@ -11,9 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltaic.llm._common import WORD, cut
+from voltaic.llm._common import WORD, cut, drop_cut
 
 BUCKETS = 1024
+ROUNDS = 3
+#: z in whole parts of this, so that sums are exact in any order.
+PARTS = 1 << 16
 
 
 def random_odds(column: Column, seed: int) -> Column:
@@ -50,59 +57,90 @@ def _cut_at(parts: DataFrame, bucket: str) -> DataFrame:
     return found.select("source", F.col(f"x.{bucket}").alias(f"cut_{bucket}"), F.col("x.before").alias(f"before_{bucket}"))
 
 
-def mix_sources(df: DataFrame, weights: tuple = (1, 2, 3), cap: int = 3, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) of every document.
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["source"].eqNullSafe(b["source"])
+
+
+def _with(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the columns of their source's row."""
+    return rows.join(sources, _same(rows, sources), how).drop(sources["source"])
+
+
+#: The order of a ranking; the text's hash and the row's number tell rows apart that share all else.
+RANK = ("q", "id", "size", "tie", "row")
+
+
+def _take(ranked: DataFrame) -> DataFrame:
+    """ranked (source, q, ..., b1, b2, need, drawn), with those drawn too with which the rest of the ranking, rows over
+    the need left out, comes up to need."""
+    open_rows = ranked.filter(F.col("q").isNotNull() & ~F.col("drawn") & (F.col("size") > 0) & (F.col("size") <= F.col("need")))
+    first = cut(_cut_at(open_rows.groupBy("source", "b1").agg(F.sum("size").alias("words"), F.first("need").alias("need")), "b1"), "cut1")
+    near = _with(open_rows, first).filter(F.col("b1") == F.col("cut_b1"))
+    near = cut(near.withColumn("need", F.col("need") - F.col("before_b1")), "near")
+    second = cut(_cut_at(near.groupBy("source", "b2").agg(F.sum("size").alias("words"), F.first("need").alias("need")), "b2"), "cut2")
+    last = _with(near, second).filter(F.col("b2") == F.col("cut_b2"))
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy(*RANK).rowsBetween(Window.unboundedPreceding, 0))
+    last = last.withColumn("upto", upto).filter(F.col("upto") <= F.col("need") - F.col("before_b2"))
+    last = last.groupBy("source").agg(F.max(F.struct(*RANK)).alias("last_in"))
+    bounds = cut(_with(_with(first, second, "left"), last, "left"), "bounds")
+    here = (F.col("b1") == F.col("cut_b1")) & (F.col("b2") == F.col("cut_b2"))
+    before = (F.col("b1") < F.col("cut_b1")) | ((F.col("b1") == F.col("cut_b1")) & (F.col("b2") < F.col("cut_b2")))
+    within = F.col("cut_b1").isNull() | before | (here & F.coalesce(F.struct(*RANK) <= F.col("last_in"), F.lit(False)))
+    fits = F.col("q").isNotNull() & (F.col("size") > 0) & (F.col("size") <= F.col("need"))
+    out = cut(_with(ranked, bounds, "left").withColumn("drawn", F.col("drawn") | (fits & within)).select(ranked.columns), "ranked")
+    drop_cut(first, near, second, bounds)
+    return out
+
+
+def mix_sources(
+    df: DataFrame, weights: tuple = (1, 2, 3), cap: int = 3, seed: int = 7,
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", row_col: str | None = None,
+) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) of every document, and its row_col if that is given.
 
     size: words of the text (null: 0). copies: how often the mix takes the document, from 0 to cap; taken = copies *
     size. After the whole copies and the sampled ones, each source takes the one document whose size comes nearest
     to the words still missing, if that helps; so a source misses its target by less than any document can mend.
-    Rows that share id and size within a source share one decision; a null source is a source of its own, a null id
+    Each row counts by itself, repeated ones too: of rows alike in all, as many are taken as are needed. row_col names
+    a number that tells rows apart, for a join with the documents. A null source is a source of its own, a null id
     a value like others; empty texts take nothing; an empty table gives an empty one. Equal inputs and seeds give
     equal results.
     """
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    sized = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    row = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    sized = df.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("tie"))
     sized = cut(sized, "sizes")
-    targets = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
-    ratio = F.try_divide(F.col("target"), F.col("source_size").cast("double"))
-    ranked = sized.join(targets, same(sized, targets), "inner").drop(targets["source"])
-    ranked = ranked.withColumn("whole", F.coalesce(F.floor(ratio), F.lit(0)))
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n"))
+    means = cut(sums.select("source", "source_size", F.expr("source_size div greatest(n, 1)").alias("mean_size")), "means")
+    z = F.expr(f"({PARTS} * size) div greatest(mean_size + size, 1)")
+    tilts = _with(sized, means).groupBy("source").agg(F.sum(z * F.col("size")).alias("z_words"))
+    targets = cut(_with(_with(source_targets(means.select("source", "source_size"), weights, cap), means.drop("source_size")), tilts), "targets")
+
+    total = F.col("source_size").cast("double")
+    ranked = _with(sized, targets).withColumn("whole", F.coalesce(F.floor(F.try_divide(F.col("target"), total)), F.lit(0)))
     ranked = ranked.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    p = F.try_divide(F.col("need"), F.col("source_size").cast("double"))
-    ranked = ranked.withColumn("q", F.when(p > 0, random_odds(F.col("id"), seed) / (p / (1.0 - p))))
+    p = F.try_divide(F.col("need"), total)
+    chance = p + p * (1.0 - p) * ((z - F.col("z_words") / total) / float(PARTS))
+    ranked = ranked.withColumn("q", F.when(p > 0, random_odds(F.col("id"), seed) / (chance / (1.0 - chance))))
     at = F.col("q") / (1.0 + F.col("q")) * BUCKETS
     ranked = ranked.withColumns({"b1": F.least(F.floor(at), F.lit(BUCKETS - 1)).cast("int"), "b2": F.least(F.floor((at - F.floor(at)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")})
+    ranked = ranked.withColumn("drawn", F.lit(False)).drop("mean_size", "z_words")
     ranked = cut(ranked, "ranked")
-
-    drawn = ranked.filter(F.col("q").isNotNull())
-    first = cut(_cut_at(drawn.groupBy("source", "b1").agg(F.sum("size").alias("words"), F.first("need").alias("need")), "b1"), "cut1")
-    near = drawn.join(first, same(drawn, first), "inner").drop(first["source"]).filter(F.col("b1") == F.col("cut_b1"))
-    near = cut(near.withColumn("need", F.col("need") - F.col("before_b1")), "near")
-    second = cut(_cut_at(near.groupBy("source", "b2").agg(F.sum("size").alias("words"), F.first("need").alias("need")), "b2"), "cut2")
-    last = near.join(second, same(near, second), "inner").drop(second["source"]).filter(F.col("b2") == F.col("cut_b2"))
-    peers = Window.partitionBy("source").orderBy("q", "id", "size")
-    last = last.withColumn("upto", F.sum("size").over(peers)).filter(F.col("upto") <= F.col("need") - F.col("before_b2"))
-    last = last.groupBy("source").agg(F.max(F.struct("q", "id", "size")).alias("last_in"))
-    bounds = first.join(second, same(first, second), "left").drop(second["source"])
-    bounds = cut(bounds.join(last, same(bounds, last), "left").drop(last["source"]), "bounds")
-
-    here = F.col("b2") == F.col("cut_b2")
-    within = (F.col("b2") < F.col("cut_b2")) | (here & (F.struct("q", "id", "size") <= F.col("last_in")))
-    in_mix = F.when(F.col("q").isNull(), False).otherwise(F.col("cut_b1").isNull() | (F.col("b1") < F.col("cut_b1")) | ((F.col("b1") == F.col("cut_b1")) & F.coalesce(within, F.lit(False))))
-    chosen = ranked.join(bounds, same(ranked, bounds), "left").drop(bounds["source"]).withColumn("drawn", in_mix)
-    chosen = cut(chosen.select("id", "source", "size", "source_size", "target", "whole", "need", "q", "drawn"), "chosen")
-
-    gaps = cut(chosen.groupBy("source").agg((F.first("need") - F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0))).alias("gap")), "gaps")
-    left = chosen.filter(~F.col("drawn") & F.col("q").isNotNull() & (F.col("size") > 0))
-    left = left.join(gaps, same(left, gaps), "inner").drop(gaps["source"])
-    miss = F.abs(F.col("gap") - F.col("size"))
-    closing = left.filter(miss < F.col("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "q", "id", "size")).alias("c"))
-    closing = cut(closing.select("source", F.col("c.q").alias("c_q"), F.col("c.id").alias("c_id"), F.col("c.size").alias("c_size")), "closing")
-    out = chosen.join(closing, same(chosen, closing), "left").drop(closing["source"])
-    closes = F.coalesce((F.col("q") == F.col("c_q")) & F.col("id").eqNullSafe(F.col("c_id")) & (F.col("size") == F.col("c_size")), F.lit(False))
-    copies = (F.col("whole") + (F.col("drawn") | closes).cast("long")).alias("copies")
-    out = out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies)
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
+    for _ in range(ROUNDS):
+        taken = _take(ranked)
+        drop_cut(ranked)
+        got = taken.groupBy("source").agg(F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).alias("got"), F.first("whole").alias("w"), F.first("target").alias("t"), F.first("source_size").alias("s"))
+        gaps = cut(got.select("source", (F.col("t") - F.col("w") * F.col("s") - F.col("got")).alias("gap")), "gaps")
+        ranked = _with(taken, gaps).withColumn("need", F.col("gap")).drop("gap")
+
+    left = ranked.filter(~F.col("drawn") & F.col("q").isNotNull() & (F.col("size") > 0))
+    miss = F.abs(F.col("need") - F.col("size"))
+    closing = left.filter(miss < F.col("need")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), *RANK)).alias("c"))
+    closing = cut(closing.select("source", F.col("c.row").alias("c_row")), "closing")
+    out = _with(ranked, closing, "left")
+    copies = F.col("whole") + (F.col("drawn") | F.coalesce(F.col("row") == F.col("c_row"), F.lit(False))).cast("long")
+    extra = [F.col("row").alias(row_col)] if row_col else []
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *extra)
 
 
 #: DuckDB SQL for the query's columns, with the production parameters.
@@ -125,14 +163,26 @@ exp_copies AS (
   SELECT s.doc_id, s.source, s.size, t.source_size, t.target, CAST(coalesce(floor(t.target / nullif(t.source_size, 0)), 0) AS BIGINT) AS whole
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 needs AS (SELECT *, target - whole * source_size AS need, (target - whole * source_size) / nullif(source_size, 0) AS p,
-  (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':7'), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM exp_copies),
-odds AS (SELECT *, CASE WHEN p > 0 THEN (u / (1.0::DOUBLE - u)) / (p / (1.0::DOUBLE - p)) END AS q FROM needs),
-upto AS (SELECT *, sum(CASE WHEN q IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size) AS words FROM odds),
-drawns AS (SELECT *, q IS NOT NULL AND words <= need AS drawn FROM upto),
-gaps AS (SELECT *, need - sum(CASE WHEN drawn THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM drawns),
-misses AS (SELECT *, CASE WHEN NOT drawn AND q IS NOT NULL AND size > 0 AND abs(gap - size) < gap THEN abs(gap - size) END AS miss FROM gaps),
-closing AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY miss NULLS LAST, q, doc_id, size) AS r FROM misses)
+  (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':7'), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u,
+  row_number() OVER () AS nr, source_size // greatest(count(*) FILTER (size > 0) OVER (PARTITION BY source), 1) AS mean_size FROM exp_copies),
+zs AS (SELECT *, (65536 * size) // greatest(mean_size + size, 1) AS z FROM needs),
+means AS (SELECT *, CAST(sum(z * size) OVER (PARTITION BY source) AS DOUBLE) / nullif(source_size, 0)::DOUBLE AS z_mean FROM zs),
+chances AS (SELECT *, p + p * (1.0::DOUBLE - p) * ((z - z_mean) / 65536.0::DOUBLE) AS chance FROM means),
+odds0 AS (SELECT *, CASE WHEN p > 0 THEN (u / (1.0::DOUBLE - u)) / (chance / (1.0::DOUBLE - chance)) END AS q, false AS drawn0, need AS gap0 FROM chances),
+"""
+
+#: A round: what still fits, in the ranking's order, up to the words still needed.
+SQL += "".join(
+    f"""fit{k} AS (SELECT *, q IS NOT NULL AND NOT drawn{k} AND size > 0 AND size <= gap{k} AS fits{k} FROM odds{k}),
+upto{k} AS (SELECT *, sum(CASE WHEN fits{k} THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size, nr ROWS UNBOUNDED PRECEDING) AS words{k} FROM fit{k}),
+draw{k} AS (SELECT *, drawn{k} OR (fits{k} AND words{k} <= gap{k}) AS drawn{k + 1} FROM upto{k}),
+odds{k + 1} AS (SELECT *, need - sum(CASE WHEN drawn{k + 1} THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap{k + 1} FROM draw{k}),
+"""
+    for k in range(ROUNDS)
+)
+SQL += f"""misses AS (SELECT *, CASE WHEN NOT drawn{ROUNDS} AND q IS NOT NULL AND size > 0 AND abs(gap{ROUNDS} - size) < gap{ROUNDS} THEN abs(gap{ROUNDS} - size) END AS miss FROM odds{ROUNDS}),
+closing AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY miss NULLS LAST, q, doc_id, size, nr) AS r FROM misses)
 SELECT doc_id, size, source_size, target,
-  (whole + CASE WHEN drawn OR (miss IS NOT NULL AND r = 1) THEN 1 ELSE 0 END) * size AS taken
+  (whole + CASE WHEN drawn{ROUNDS} OR (miss IS NOT NULL AND r = 1) THEN 1 ELSE 0 END) * size AS taken
 FROM closing
 """
