@@ -220,18 +220,44 @@ def test_simhash(spark, docs, odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("most", [2048, 3])
-def test_cells_link_all_within_two_bits(spark, monkeypatch, most):
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 62, 6, dtype=np.uint64)
-    fps = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 6, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 6, dtype=np.uint64)) for _ in range(30)]]))
-    monkeypatch.setattr(simhash, "PAIRS_UP_TO", most)
-    cells = [c for m in simhash._masks() for c in (fps[(fps & np.uint64(m)) == k] for k in np.unique(fps & np.uint64(m))) if len(c) > 1]
-    a, b = simhash.cell_links(cells)
-    i, j = np.searchsorted(fps, a), np.searchsorted(fps, b)
-    got = simhash._forest(len(fps), i, j)
+def roots(n, i, j):
+    """The least index linked with each of n."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, i, root[j])
+        np.minimum.at(new, j, root[i])
+        if (new == root).all():
+            return root.tolist()
+        root = new
+
+
+@pytest.mark.parametrize(("n", "free"), [(200, 64), (6000, 18), (3000, 12), (40, 3)])
+def test_cells_link_all_within_two_bits(n, free):
+    """Fingerprints that differ in few bits share cells, over 2,048 of them too; what links is what all pairs link."""
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 62, dtype=np.uint64)
+    noise = rng.integers(0, 1 << (free - 1), n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+    flips = [noise ^ (np.uint64(1) << rng.integers(0, free, n, dtype=np.uint64)) for _ in range(2)]
+    fps = np.unique(base ^ np.concatenate([noise, *flips])[:n])
+    cells = simhash.cell_numbers(fps)
+    order = np.argsort(cells.ravel(), kind="stable")
+    _, sizes = np.unique(cells.ravel(), return_counts=True)
+    assert free >= 64 or free < 10 or sizes.max() > 2048
+    a, b = simhash.cell_links(np.repeat(fps, cells.shape[1])[order], sizes)
+    got = roots(len(fps), np.searchsorted(fps, a), np.searchsorted(fps, b))
     x, y = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2)
-    assert got.tolist() == simhash._forest(len(fps), x, y).tolist()
+    assert got == roots(len(fps), x, y)
+    assert (np.bitwise_count(a ^ b) <= 2).all()
+
+
+def test_pivots_discard_none_that_link():
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    b = a ^ (np.uint64(1) << rng.integers(0, 64, 4000, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 4000, dtype=np.uint64))
+    table, n = simhash.pivot_table(np.concatenate([a, b])), np.arange(4000)
+    assert len(simhash._survive(table, n, n + 4000)[0]) == 4000 and len(simhash._survive(table, n, np.roll(n, 1))[0]) < 5
+    assert (simhash.cell_numbers(a) == simhash.cell_numbers(b)).any(1).all()
 
 
 def test_components(spark):

@@ -1,17 +1,17 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Fingerprints within MAX_BITS differing bits link. Two such fingerprints agree on at least BLOCKS - MAX_BITS of the
-BLOCKS blocks into which their bits fall, that is, their distances to the reference fingerprints of those blocks' bits
-are equal: these are the cells in which pairs are sought. Within a cell a table of distances to many reference
-fingerprints (pivots) discards every pair with a coordinate difference over MAX_BITS, and the survivors are verified.
-A cell can't hold more than 2 ** 22 different fingerprints, whatever the size of the corpus; cells too large for
-pairs are linked by masking, without pairs. Only links of a spanning forest of each cell leave it.
+Fingerprints within MAX_BITS differing bits link. The 64 bits fall into parts, and every part has reference fingerprints
+(pivots); a fingerprint's coordinates are its Hamming distances to them on that part. A differing bit moves the
+coordinates of its part alone, by one at most, so two fingerprints that link have equal coordinates on all parts but
+MAX_BITS: these are the cells through which pairs are dealt and sought. Within a cell a table of distances to pivots of
+all 64 bits discards every pair with a coordinate difference over MAX_BITS, and the survivors are verified. Only links of
+a spanning forest of each cell leave it: a fingerprint that is reached is compared with those not yet reached.
+A cell can't hold more than 2 ** 22 different fingerprints, whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -20,15 +20,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltaic.llm._common import cut
+from voltaic.llm._common import cut, drop_cut
 from voltaic.llm.components import connected_components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
-#: Widths of the blocks of bits, 64 together.
-BLOCKS = (11, 11, 11, 11, 10, 10)
-#: Cells of more fingerprints are linked by masking.
-PAIRS_UP_TO = 2048
-_PIVOTS = np.random.default_rng(64).integers(0, 1 << 63, 24, dtype=np.uint64) * np.uint64(2) + np.arange(24, dtype=np.uint64) % np.uint64(2)
+#: Widths of the parts, 64 bits together, and pivots of each.
+PARTS, PART_PIVOTS = (11, 11, 11, 11, 10, 10), 8
+#: Pivots of all bits. Pairs of cells up to SMALL are compared many cells at once.
+PIVOTS, SMALL = 24, 64
+_RNG = np.random.default_rng(64)
+_REFERENCES = _RNG.integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
+_PART_REFERENCES = _RNG.integers(0, 1 << 64, (len(PARTS), PART_PIVOTS), dtype=np.uint64)
+_MASKS = np.array([((1 << w) - 1) << (sum(PARTS[:i])) for i, w in enumerate(PARTS)], np.uint64)
+#: The parts on which two linked fingerprints agree, for each choice, with factors that make one number of their coordinates.
+_CHOICES = list(combinations(range(len(PARTS)), len(PARTS) - MAX_BITS))
+_FACTORS = _RNG.integers(0, 1 << 63, (len(_CHOICES), len(PARTS)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -63,95 +69,102 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def _masks() -> list[int]:
-    """The bits that must agree, for each choice of blocks in which two fingerprints may differ."""
-    starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    blocks = [((1 << w) - 1) << s for s, w in zip(starts, BLOCKS, strict=True)]
-    return [reduce(int.__or__, chosen) for chosen in combinations(blocks, len(BLOCKS) - MAX_BITS)]
-
-
-def _verified(fps: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that the pivots don't discard and that differ in MAX_BITS bits at most."""
+def pivot_table(fps: np.ndarray) -> np.ndarray:
+    """Distances to the pivots of all bits, a row for each fingerprint."""
+    return np.bitwise_count(fps[:, None] ^ _REFERENCES[None, :]).astype(np.int8)
+
+
+def cell_numbers(fps: np.ndarray) -> np.ndarray:
+    """For each fingerprint and choice of parts, a number for its coordinates there (choices apart; that two cells get
+    one number costs some comparisons and no link)."""
+    codes = np.zeros((len(fps), len(PARTS)), np.uint64)
+    for k in range(PART_PIVOTS):
+        distances = np.bitwise_count((fps[:, None] ^ _PART_REFERENCES[None, :, k]) & _MASKS[None, :])
+        codes = codes * np.uint64(16) + distances
+    cells = np.zeros((len(fps), len(_CHOICES)), np.uint64)
+    for c, parts in enumerate(_CHOICES):
+        for part in parts:
+            cells[:, c] += codes[:, part] * _FACTORS[c, part]
+        cells[:, c] ^= cells[:, c] >> np.uint64(31)
+        cells[:, c] *= _FACTORS[c, 0]
+    return cells
+
+
+def _survive(table: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose largest coordinate difference is MAX_BITS at most."""
     for first in range(0, table.shape[1], 4):
         near = (np.abs(table[i, first : first + 4] - table[j, first : first + 4]) <= MAX_BITS).all(1)
         i, j = i[near], j[near]
+    return i, j
+
+
+def _verified(fps: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    i, j = _survive(table, i, j)
     near = np.bitwise_count(fps[i] ^ fps[j]) <= MAX_BITS
     return i[near], j[near]
 
 
-def pivot_table(fps: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps[:, None] ^ _PIVOTS[None, :]).astype(np.int8)
-
-
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest index linked with each of n."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], least)
-        np.minimum.at(new, root[j], least)
-        new = new[new]
-        while (new != new[new]).any():
-            new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
-def cell_links(cells: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the different fingerprints of each cell, enough to connect whatever is within MAX_BITS."""
-    fps = np.concatenate(cells) if cells else np.zeros(0, np.uint64)
-    sizes = np.array([len(c) for c in cells], np.int64)
+def _reached(fps: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(a fingerprint's place, the places reached from it first) of one cell, in the order of the search."""
+    order = np.argsort(table[:, 0], kind="stable")
+    fps, table = fps[order], table[order]
+    # partners stand within MAX_BITS of each other's first distance
+    begins = np.searchsorted(table[:, 0], table[:, 0] - MAX_BITS)
+    ends = np.searchsorted(table[:, 0], table[:, 0] + MAX_BITS, side="right")
+    waiting = np.ones(len(fps), bool)
+    for start in range(len(fps)):
+        front = [start] if waiting[start] else []
+        waiting[start] = False
+        while front:
+            at = front.pop()
+            near = begins[at] + np.flatnonzero(waiting[begins[at] : ends[at]])
+            _, found = _verified(fps, np.full(len(near), at), near, table)
+            if len(found):
+                waiting[found] = False
+                front.extend(found.tolist())
+                yield int(order[at]), order[found]
+
+
+def cell_links(fps: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """fps: the fingerprints of cells of these sizes, cell after cell. Links (a, b) of fingerprints, enough to connect
+    whatever is within MAX_BITS in a cell."""
     base = np.cumsum(sizes) - sizes
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    table = pivot_table(fps)
-    for size in np.unique(sizes[sizes <= 64]).tolist():  # many small cells at once
+    pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for size in np.unique(sizes[sizes <= SMALL]).tolist():
         a, b = np.triu_indices(size, 1)
         at = base[sizes == size]
         step = max(1, (1 << 20) // max(1, len(a)))
         for k in range(0, len(at), step):
-            some = at[k : k + step, None]
-            pairs.append(_verified(fps, (some + a).ravel(), (some + b).ravel(), table))
-    for at, size in zip(base[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-        inner = np.arange(at, at + size)
-        if size > PAIRS_UP_TO:
-            own = fps[inner]
-            varied = int(np.bitwise_or.reduce(own) ^ np.bitwise_and.reduce(own))
-            bits = [1 << b for b in range(64) if varied >> b & 1]
-            for masked in combinations(bits, min(MAX_BITS, len(bits))):
-                _, first, inverse = np.unique(own & np.uint64(~sum(masked) & ((1 << 64) - 1)), return_index=True, return_inverse=True)
-                linked = first[inverse] != np.arange(size)
-                pairs.append((inner[first[inverse][linked]], inner[linked]))
-                if sum(len(p[0]) for p in pairs[-16:]) > 1 << 20:
-                    roots = _forest(len(fps), *(np.concatenate([p[k] for p in pairs]) for k in (0, 1)))
-                    pairs = [(roots[moved], moved) for moved in [np.flatnonzero(roots != np.arange(len(fps)))]]
-            continue
-        # in the order of the first pivot's distance, partners stand within MAX_BITS of it
-        inner = inner[np.argsort(table[inner, 0], kind="stable")]
-        ends = np.searchsorted(table[inner, 0], table[inner, 0] + MAX_BITS, side="right")
-        for k in range(size - 1):
-            j = inner[k + 1 : ends[k]]
-            pairs.append(_verified(fps, np.full(len(j), inner[k]), j, table))
-    if not pairs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    roots = _forest(len(fps), *(np.concatenate([p[k] for p in pairs]) for k in (0, 1)))
-    moved = np.flatnonzero(roots != np.arange(len(fps)))
-    return fps[roots[moved]], fps[moved]
+            inner = (at[k : k + step, None] + np.arange(size)).ravel()
+            first = size * np.arange(len(inner) // size)[:, None]
+            i, j = _verified(fps[inner], (first + a).ravel(), (first + b).ravel(), pivot_table(fps[inner]))
+            pairs.append((inner[i], inner[j]))
+    for at, size in zip(base[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        own = fps[at : at + size]
+        pairs += [(np.full(len(found), at + i), at + found) for i, found in _reached(own, pivot_table(own))]
+    i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    return fps[i], fps[j]
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """distinct (fp): links (a, b) that connect every two fingerprints within MAX_BITS of each other."""
-    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in _masks()])
-    keyed = distinct.select("fp", F.posexplode(masks).alias("k", "mask")).select("fp", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("cell"))
-    cells = keyed.groupBy("k", "cell").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            cells = cell_numbers(fps.view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(np.repeat(fps, cells.shape[1]))], ["cell", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = cell_links([np.array(v, np.int64).view(np.uint64) for v in batch.column(0).to_pylist()])
+            lists = batch.column(0)
+            ends = lists.offsets.to_numpy()
+            fps = lists.values.to_numpy().view(np.uint64)[ends[0] : ends[-1]]
+            a, b = cell_links(fps, np.diff(ends).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long")
+    cells = distinct.select("fp").mapInArrow(deal, "cell long, fp long").groupBy("cell").agg(F.collect_list("fp").alias("fps"))
+    return cells.filter(F.size("fps") > 1).select("fps").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -162,9 +175,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     fps = cut(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    labels = cut(connected_components(links(distinct)), "labels")
+    edges = cut(links(distinct), "links")
+    labels = cut(connected_components(edges), "labels")
     known = cut(labels.join(distinct, labels["node"] == distinct["fp"]).select("fp", "root", "first"), "known")
     least = cut(known.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     linked = cut(known.join(least, "root").select("fp", "component_id"), "linked")
     named = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "named")
+    drop_cut(distinct, edges, labels, known, least, linked)
     return fps.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
