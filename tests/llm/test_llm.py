@@ -174,7 +174,7 @@ def test_mixing_repeated_rows_and_long_texts(spark):
     """Each source comes within one small document of its target, however often rows repeat and wherever long ones rank."""
     rows = [(i % 4, "a", "w " * (3 + i % 4)) for i in range(160)] + [(100 + i, "b", "w " * (400 if i % 50 == 0 else 5)) for i in range(300)]
     df = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows + rows[-9:])], "doc_id long, source string, text string, nr long, size string")
-    got = mixing.mix_sources(df, row_col="nr").collect()
+    got = mixing.mix_sources(df, keep=("nr",)).collect()
     assert sorted(r.nr for r in got) == list(range(len(rows) + 9))
     for source in "ab":
         own = [r for r in got if r.source == source]
@@ -329,22 +329,39 @@ def test_quality(spark, odd, none):
 # ---- pipeline
 
 
+CLASHES = "n_words size copies copy t1 t2 tox_score n_removed kept_text row component lead x key".split()
+
+
 def test_pipeline(spark, docs):
-    columns = docs.columns
-    frame, sizes = docs, [docs.count()]
+    """Every stage keeps the columns, whatever their names, and works on what the last one kept."""
+    frame = docs.withColumns({c: F.lit(i) if i % 2 else F.lit(None).cast("string") for i, c in enumerate(CLASHES)})
+    columns, sizes = frame.columns, [docs.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        frame = stage(spark, frame, SF)
+        frame = spark.createDataFrame(stage(spark, frame, SF).toArrow()) if name != "mix_sources" else stage(spark, frame, SF)
         assert frame.columns == columns, name
         sizes.append(frame.count())
+        assert all(r.size == 1 and r.copy == 3 and r.n_words is None for r in frame.select("size", "copy", "n_words").collect())
     assert sizes[1] <= sizes[0] and sizes[2] < sizes[1] and sizes[3] <= sizes[2]
-    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
-    groups = simhash.near_duplicates(docs)
-    assert kept.count() == groups.select("component_id").distinct().count()
     rows = corpus_pipeline.run(spark, SF).collect()
     check_packing(rows)
     assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()} and rows
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd, none):
+    """Null ids, repeated ids with different texts, repeated rows, nulls and empties, no rows."""
+    text = lambda seed: " ".join(f"w{(seed * 31 + i * i) % 1000}" for i in range(60))
+    rows = [(1, text(1)), (1, text(2)), (1, text(1)), (None, text(1)), (None, text(3)), (2, text(3)), (3, None), (4, ""), (5, "a b"), (5, "a b")]
+    df = spark.createDataFrame([(i, t, "en", s, 1) for i, t in rows for s in ["s"]], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("1", text(1)), ("1", text(2)), ("2", text(3)), ("3", ""), ("5", "a b")])
+    own = corpus_pipeline.drop_repeated_passages(spark, df, SF).collect()
+    assert sorted((str(r.doc_id), r.text) for r in own if r.text) == sorted([("1", text(2)), ("5", "a b"), ("5", "a b")])
+    mixed = corpus_pipeline.mix(spark, df, SF)
+    assert sum(len((r.text or "").split()) for r in mixed.collect()) == sum(len((t or "").split()) for _, t in rows)  # one source: its target is its size
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, df.limit(0), SF).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op2_mix_sources", "op5_exact_top_k"])
 def test_sql(spark, name):
     from compare import connect, difference

@@ -94,21 +94,20 @@ def _take(ranked: DataFrame) -> DataFrame:
 
 def mix_sources(
     df: DataFrame, weights: tuple = (1, 2, 3), cap: int = 3, seed: int = 7,
-    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", row_col: str | None = None,
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: tuple = (),
 ) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) of every document, and its row_col if that is given.
+    """(id, source, size, source_size, target, copies, taken) of every document, and its columns named in keep.
 
     size: words of the text (null: 0). copies: how often the mix takes the document, from 0 to cap; taken = copies *
     size. After the whole copies and the sampled ones, each source takes the one document whose size comes nearest
     to the words still missing, if that helps; so a source misses its target by less than any document can mend.
-    Each row counts by itself, repeated ones too: of rows alike in all, as many are taken as are needed. row_col names
-    a number that tells rows apart, for a join with the documents. A null source is a source of its own, a null id
+    Each row counts by itself, repeated ones too: of rows alike in all, as many are taken as are needed. A null source is a source of its own, a null id
     a value like others; empty texts take nothing; an empty table gives an empty one. Equal inputs and seeds give
     equal results.
     """
-    row = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    kept = {f"keep_{k}": F.col(c) for k, c in enumerate(keep)}
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = df.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("tie"))
+    sized = df.select(F.monotonically_increasing_id().alias("row"), *(c.alias(k) for k, c in kept.items()), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("tie"))
     sized = cut(sized, "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n"))
     means = cut(sums.select("source", "source_size", F.expr("source_size div greatest(n, 1)").alias("mean_size")), "means")
@@ -139,7 +138,7 @@ def mix_sources(
     closing = cut(closing.select("source", F.col("c.row").alias("c_row")), "closing")
     out = _with(ranked, closing, "left")
     copies = F.col("whole") + (F.col("drawn") | F.coalesce(F.col("row") == F.col("c_row"), F.lit(False))).cast("long")
-    extra = [F.col("row").alias(row_col)] if row_col else []
+    extra = [F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)]
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *extra)
 
 
