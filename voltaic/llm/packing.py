@@ -38,12 +38,14 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a pre-token
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.bytes = np.zeros(len(self.ends), np.int64)  # of text that a token stands for, a character for each byte
+        self.bytes[list(vocabulary.values())] = [len(t.removesuffix("</w>")) for t in vocabulary]
         self.known: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
         """Plain words, letters and perhaps one run of stops after them, go many to a call: each gives one pre-token, or
-        two, whose last tokens are marked as ends in the vocabulary. Other words, and all if the ends don't come out
-        right, go one by one."""
+        two, whose last tokens are marked as ends in the vocabulary. Other words, and all if the ends or any word's
+        bytes don't come out right, go one by one."""
         plain, sizes, alone = [], [], []
         for w in words:
             core = w.rstrip(".,;:!?")
@@ -57,7 +59,8 @@ class WordIds:
             part = plain[i : i + 512]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops, wanted = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(sizes[i : i + 512])
-            if len(stops) != wanted[-1]:
+            spelled = np.cumsum([len(w.lower().encode()) for w in part])
+            if len(stops) != wanted[-1] or (np.cumsum(self.bytes[ids])[stops[wanted - 1] - 1] != spelled).any():
                 alone += part
                 continue
             raw, at = ids.tobytes(), 0
