@@ -121,6 +121,14 @@ def test_random_texts_tokenize_alike():
     assert packing.WordIds(queries.PACKING).ids(texts) == [np.array(e.ids, "<u4").tobytes() for e in words.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_patterns_that_join_across_blanks():
+    """A pattern whose pre-tokens cross blanks is applied to whole texts."""
+    counter = tokens.TokenCounter(queries.COUNTING, r"[a-z]+ [a-z]+|\s|\S")
+    assert not counter.by_word and tokens.TokenCounter(queries.COUNTING, public_tokenizers.PATTERN).by_word
+    text = "ab cd ef"
+    assert counter.counts([text]) == [sum(counter._tokens([[p]])[0] for p in counter.split(text))]
+
+
 def check_packing(rows):
     by = collections.defaultdict(list)
     for r in rows:
@@ -194,9 +202,14 @@ def test_top_k(spark):
     rng = np.random.default_rng(1)
     vectors = [(int(i), [float(x) for x in rng.integers(-3, 4, 6) / 4]) for i in range(120)] + [(50, None), (150, [float("nan")] * 6), (151, [None] * 6), (None, [1.0] * 6), (152, [1.0, 2.0])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    df = df.union(df.filter("vec_id in (0, 3)")).union(spark.createDataFrame([(7, [0.5] * 6)], df.schema))
+    vectors += [v for v in vectors if v[0] in (0, 3)] + [(7, [0.5] * 6)]
     got = topk.top_k(df, query_rows=2, candidate_rows=16).collect()
-    clean = {i: [int(np.floor(256 * x)) for x in v] + [0] * (6 - len(v)) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    want = [(q, n + 1, c, s) for q in clean if q % 50 == 0 for n, (s, c) in enumerate([(-s, c) for s, c in sorted((-int(np.dot(clean[q], clean[c])), c) for c in clean if c != q)][:5])]
+    clean = [(i, [int(np.floor(256 * x)) for x in v] + [0] * (6 - len(v))) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for k, (q, v) in enumerate(clean):
+        ranked = sorted((-int(np.dot(v, w)), c) for j, (c, w) in enumerate(clean) if j != k) if q % 50 == 0 else []
+        want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(ranked[:5])]
     assert sorted(map(tuple, got)) == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
     huge = spark.createDataFrame([(0, [1e16, 1e16]), (1, [1e16, 1.0])], "vec_id long, embedding array<double>")

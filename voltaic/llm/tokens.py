@@ -103,12 +103,19 @@ class MergeTable:
         return values[order], np.bincount(owners, minlength=len(pieces))
 
 
+#: What is tried on either side of a cut: letters, cases, marks, digits, signs, scripts, contractions.
+_LEFT = ("a", "Ab", "é", "1", "12", ".", "'", "'s", "-", "_", "中", "\u0301", "?!", "a's", "x1")
+_RIGHT = tuple(blank + right for blank in " \n" for right in (*_LEFT, "'ll b", "b\nc", "b c"))
+
+
 class TokenCounter:
     """Counts of whole texts; special tokens of the vocabulary are recognised in texts, each one token."""
 
     def __init__(self, path: str, pattern: str):
         self.table = MergeTable(path)
         self.split = regex.compile(pattern).findall
+        # words are looked up one by one only if the pattern never joins text across a lone blank's left end
+        self.by_word = all(self.split(a + b) == self.split(a) + self.split(b) for a in _LEFT for b in _RIGHT)
         self.special = regex.compile("|".join(map(regex.escape, self.table.special))) if self.table.special else None
         self.pretokens: dict[str, int] = {}
         self.words: dict[str, int] = {}  # what follows a lone space, or a lone line feed and that
@@ -128,8 +135,9 @@ class TokenCounter:
         return out
 
     def counts(self, texts: list[str]) -> list[int]:
-        """No pre-token lies across the left end of a lone space or line feed between two other characters, so a
-        text in which white space is such is cut there and its words are looked up; others are split whole."""
+        """With most patterns no pre-token lies across the left end of a lone space or line feed between two other
+        characters (probed when the counter is made), so a text in which white space is such is cut there and its words
+        are looked up; others, and all with other patterns, are split whole."""
         out = [0] * len(texts)
         regular: list[tuple[int, list[str]]] = []
         whole: list[tuple[int, str]] = []
@@ -140,7 +148,7 @@ class TokenCounter:
                 out[i] += len(segments) - 1
             for segment in segments:
                 parts = segment.replace("\n", " \n").split(" ")
-                if "" in parts or "\n" in parts or len(segment.split()) != len(parts):
+                if not self.by_word or "" in parts or "\n" in parts or len(segment.split()) != len(parts):
                     whole.append((i, segment))
                 else:
                     whole.append((i, parts[0]))
