@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltaic.operators import steps
+
 
 def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
@@ -16,13 +18,22 @@ def _micros(ts: str) -> Column:
 def sequence(df: DataFrame, keys: list[str], ts: str, order: str, kind: str, wanted: list[str]) -> DataFrame:
     """How many of the wanted types, in order with any others between, each key's events match; greedy, from the first.
 
-    Only events of wanted types are gathered, as (time, order, type), and folded once.
+    Each step takes a key's earliest event of the next type after the match before: a partial minimum, and one row a
+    key is joined. No key's events are gathered.
     """
-    steps = F.array(*map(F.lit, wanted))
-    sorted_ = F.array_sort(F.collect_list(F.when(F.col(kind).isin(*wanted), F.struct(F.col(ts).alias("at"), F.col(order).alias("tie"), F.col(kind).alias("kind")))))
-    matched = F.aggregate(F.col("_e"), F.lit(0), lambda n, e: F.when((n < len(wanted)) & (e["kind"] == F.get(steps, n)), n + 1).otherwise(n))
-    out = df.groupBy(*keys).agg(sorted_.alias("_e")).withColumn("matched", matched).drop("_e")
-    return out.withColumn("confidence", F.col("matched") / F.lit(float(len(wanted))))
+    at = F.struct(F.col(ts).alias("at"), F.col(order).alias("tie"))
+    out = steps.cut(df.groupBy(*keys).agg(F.min(F.when(F.col(kind) == wanted[0], at)).alias("_m0")))
+    for i, step in enumerate(wanted[1:], 1):
+        open_ = out.filter(F.col(f"_m{i - 1}").isNotNull()).select(*keys, f"_m{i - 1}")
+        later = df.filter(F.col(kind) == step).select(*keys, at.alias("_at")).join(open_, keys).filter(F.col("_at") > F.col(f"_m{i - 1}"))
+        out = steps.cut(out.join(later.groupBy(*keys).agg(F.min("_at").alias(f"_m{i}")), keys, "left"))
+    found = [F.col(f"_m{i}").isNotNull().cast("int") for i in range(len(wanted))]
+    return out.select(*keys, sum(found[1:], found[0]).alias("matched")).withColumn("confidence", F.col("matched") / F.lit(float(len(wanted))))
+
+
+def custom(df: DataFrame, keys: list[str], detector, schema: str) -> DataFrame:
+    """A detector of the caller's own, over one key's events at a time: a function of a pandas frame, giving schema."""
+    return df.groupBy(*keys).applyInPandas(detector, schema)
 
 
 def frequency(df: DataFrame, keys: list[str], ts: str, kind: str, seconds: int, least: int, most: int, minima: dict[str, int]) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltaic.operators import ranks
+
 
 def population_stability(reference: DataFrame, current: DataFrame, column: str, bins: int = 5) -> DataFrame:
     """One row, psi: over bins between the reference's quantiles; empty bins count as one in ten thousand."""
-    cuts = reference.agg(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_c"))
+    cuts = ranks.quantiles(reference, column, [i / bins for i in range(1, bins)]).withColumnRenamed("q", "_c")
     sides = reference.select(F.col(column).alias("x"), F.lit(1).alias("ref")).unionAll(current.select(F.col(column).alias("x"), F.lit(0).alias("ref")))
     binned = sides.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("_c", lambda c: c < F.col("x"))))
     counts = binned.groupBy("bin").agg(F.sum("ref").alias("r"), F.sum(1 - F.col("ref")).alias("c"))
@@ -32,12 +34,18 @@ def jensen_shannon(reference: DataFrame, current: DataFrame, column: str, bins:
 
 
 def kolmogorov_smirnov(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
-    """One row, ks: the largest gap of the two distribution functions, from counts of each different value."""
+    """One row, ks: the largest gap of the two distribution functions, from counts of each different value; nulls don't count."""
+    return _gaps(reference, current, column).agg(F.max("gap").alias("ks"))
+
+
+def _gaps(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
+    """(x, next_x, gap): how far the two distribution functions lie apart from each value to the next."""
     sides = reference.select(F.col(column).alias("x"), F.lit(1).alias("ref")).unionAll(current.select(F.col(column).alias("x"), F.lit(0).alias("ref")))
-    counts = sides.groupBy("x").agg(F.sum("ref").alias("r"), F.sum(1 - F.col("ref")).alias("c"))
-    upto, everything = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = F.abs(F.sum("r").over(upto) / F.sum("r").over(everything) - F.sum("c").over(upto) / F.sum("c").over(everything))
-    return counts.select(gap.alias("g")).agg(F.max("g").alias("ks"))
+    counts = sides.filter("x is not null").groupBy("x").agg(F.sum("ref").alias("r"), F.sum(1 - F.col("ref")).alias("c"))
+    sizes = counts.agg(F.sum("r").alias("all_r"), F.sum("c").alias("all_c"))
+    upto = lambda side: F.try_divide(F.col(f"before_{side}") + F.col(side), F.col(f"all_{side}"))
+    rows = ranks.running(counts, "x", ["r", "c"]).crossJoin(F.broadcast(sizes))  # sizes is one row
+    return rows.select("x", "next_x", F.abs(upto("r") - upto("c")).alias("gap"))
 
 
 def two_groups(df: DataFrame, group: Column, value: str) -> DataFrame:
@@ -60,20 +68,14 @@ def ab_variant(key: Column, test: str, split: float) -> Column:
 
 def wasserstein(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """One row, wasserstein: the area between the two distribution functions, from counts of each different value."""
-    sides = reference.select(F.col(column).alias("x"), F.lit(1).alias("ref")).unionAll(current.select(F.col(column).alias("x"), F.lit(0).alias("ref")))
-    counts = sides.filter("x is not null").groupBy("x").agg(F.sum("ref").alias("r"), F.sum(1 - F.col("ref")).alias("c"))
-    w, everything = Window.orderBy("x"), Window.partitionBy()
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.try_divide(F.sum("r").over(upto), F.sum("r").over(everything)) - F.try_divide(F.sum("c").over(upto), F.sum("c").over(everything)))
-    return counts.select((gap * (F.lead("x").over(w) - F.col("x"))).alias("a")).agg(F.sum("a").alias("wasserstein"))
+    return _gaps(reference, current, column).agg(F.sum(F.col("gap") * (F.col("next_x") - F.col("x"))).alias("wasserstein"))
 
 
 def rank_test(df: DataFrame, group: Column, value: str) -> DataFrame:
     """Mann and Whitney's U of two groups (true and false) and its z, with mean ranks for ties; ranks come from counts of each value."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count_if(~group).alias("a"), F.count_if(group).alias("b"))
-    before = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum(F.col("a") + F.col("b")).over(before), F.lit(0)) + (F.col("a") + F.col("b") + 1) / 2
-    out = counts.withColumn("_rank", rank).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("_rank") * F.col("a")).alias("_sum"))
+    rank = F.col("before_a") + F.col("before_b") + (F.col("a") + F.col("b") + 1) / 2
+    out = ranks.running(counts, "x", ["a", "b"]).withColumn("_rank", rank).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("_rank") * F.col("a")).alias("_sum"))
     pairs = F.col("n_a").cast("double") * F.col("n_b")
     out = out.withColumn("u", F.col("_sum") - F.col("n_a") * (F.col("n_a") + 1) / 2)
     return out.withColumn("z", F.try_divide(F.col("u") - pairs / 2, F.sqrt(pairs * (F.col("n_a") + F.col("n_b") + 1) / 12))).drop("_sum")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltaic.operators import steps
+
 
 def seconds(ts: str) -> Column:
     """Seconds of a timestamp without zone, with fractions."""
@@ -27,21 +29,34 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: s
     drops = ["_bucket", "_near", *(f"_k{i}" for i in range(len(keys)))]
     if how in ("inner", "left"):
         return a.join(b, same, how).drop(*drops)
-    inner = a.join(b, same, "inner")
-    lonely = right.alias("r").join(left.select(*keys, F.col(left_ts).alias("_ts")).alias("l"), _near(keys, right_ts, within), "left_anti")
-    out = inner.drop(*drops).unionByName(lonely, allowMissingColumns=True)
+    out = a.join(b, same, "inner").drop(*drops)
+    lonely = _without_partner(right, left.select(*keys, F.col(left_ts).alias("_ts")), keys, right_ts, within)
+    out = out.unionByName(lonely, allowMissingColumns=True)
     if how == "full":
-        alone = left.alias("r").join(right.select(*keys, F.col(right_ts).alias("_ts")).alias("l"), _near(keys, left_ts, within), "left_anti")
+        alone = _without_partner(left, right.select(*keys, F.col(right_ts).alias("_ts")), keys, left_ts, within)
         out = out.unionByName(alone, allowMissingColumns=True)
     return out
 
 
-def _near(keys: list[str], ts: str, within: float) -> Column:
-    """Rows r that have a row l of the other side nearby: the key joins by equality, the range is checked on its rows."""
-    test = F.abs(F.unix_micros(F.col(f"r.{ts}").cast("timestamp")) / 1e6 - F.unix_micros(F.col("l._ts").cast("timestamp")) / 1e6) <= within
-    for k in keys:
-        test &= F.col(f"r.{k}") == F.col(f"l.{k}")
-    return test
+def _without_partner(df: DataFrame, others: DataFrame, keys: list[str], ts: str, within: float) -> DataFrame:
+    """Rows of df without a row of others (keys, _ts) nearby; these are entered in three buckets of time, as above."""
+    bucket = lambda c: F.floor(seconds(c) / within).cast("long")
+    a = df.withColumn("_bucket", bucket(ts))
+    b = others.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_ts", F.explode(F.array(*[bucket("_ts") + d for d in (-1, 0, 1)])).alias("_near"))
+    test = (F.col("_bucket") == F.col("_near")) & (F.abs(seconds(ts) - seconds("_ts")) <= within)
+    for i, k in enumerate(keys):
+        test &= F.col(k) == F.col(f"_k{i}")
+    return a.join(b, test, "left_anti").drop("_bucket")
+
+
+def key_window_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, window: str) -> DataFrame:
+    """All pairs of a key's rows that fall into the same tumbling window: the cross join within a key's buffer."""
+    a = left.withColumn("window_start", F.window(left_ts, window)["start"])
+    b = right.withColumns({f"_k{i}": F.col(k) for i, k in enumerate(keys)} | {"_start": F.window(right_ts, window)["start"]}).drop(*keys)
+    test = F.col("window_start") == F.col("_start")
+    for i, k in enumerate(keys):
+        test &= F.col(k) == F.col(f"_k{i}")
+    return a.join(b, test).drop("_start", *[f"_k{i}" for i in range(len(keys))])
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str) -> DataFrame:
@@ -52,16 +67,37 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
     return a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("_v", ignorenulls=True).over(w)).filter("_side = 1").drop("_t", "_v", "_side")
 
 
-def nearest(facts: DataFrame, places: DataFrame, lat: str, lon: str, key: str, most_places: int = 10_000) -> DataFrame:
-    """Each fact location with the key of its nearest place, in degrees. The places, at most most_places, are broadcast."""
-    n = places.count()
-    if n > most_places:
-        raise ValueError(f"{n} places; nearest() takes {most_places} at most")
-    spots = facts.select(lat, lon).distinct()
+def nearest(facts: DataFrame, places: DataFrame, lat: str, lon: str, key: str) -> DataFrame:
+    """Each fact location with the key of its nearest place, in degrees; ties go to the smaller key.
+
+    Places and spots join by cells. A spot whose best place among its own and the eight cells around is under a cell's width
+    away is done, for no place outside is nearer; the others go on with cells twice as wide.
+    """
+    others = places.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), F.col(key).alias("_key")).filter("_lat is not null and _lon is not null")
+    spots = steps.cut(facts.select(lat, lon).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).distinct())
+    n, *ends = others.agg(F.count("*"), F.min("_lat"), F.max("_lat"), F.min("_lon"), F.max("_lon")).first()
+    far = spots.agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
+    if not n or far[0] is None:
+        return facts.limit(0).withColumns({f"nearest_{key}": F.lit(None).cast(places.schema[key].dataType), "distance": F.lit(None).cast("double")})
+    reach = lambda k: float(max(ends[k + 1], far[k + 1]) - min(ends[k], far[k]))
+    span = max(reach(0), reach(2), 1e-9)
+    width = max(span / max(1.0, n**0.5), span * 1e-6)
     distance = F.sqrt(F.pow(F.col(lat) - F.col("_lat"), F.lit(2)) + F.pow(F.col(lon) - F.col("_lon"), F.lit(2)))
-    others = places.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), F.col(key).alias("_key"))
-    best = spots.join(F.broadcast(others)).groupBy(lat, lon).agg(F.min(F.struct(distance.alias("d"), F.col("_key").alias("k"))).alias("_b"))
-    return facts.join(best, [lat, lon]).withColumns({f"nearest_{key}": F.col("_b.k"), "distance": F.col("_b.d")}).drop("_b")
+    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("x"), F.lit(dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
+    done = None
+    while True:
+        cell = lambda c, w=width: F.floor(F.col(c) / w).cast("long")
+        near = spots.withColumn("_d", around).select(lat, lon, (cell(lat) + F.col("_d.x")).alias("_x"), (cell(lon) + F.col("_d.y")).alias("_y"))
+        held = others.withColumns({"_x": cell("_lat"), "_y": cell("_lon")})
+        best = near.join(held, ["_x", "_y"]).groupBy(lat, lon).agg(F.min(F.struct(distance.alias("d"), F.col("_key").alias("k"))).alias("_b"))
+        last = width > span
+        found = steps.cut(best if last else best.filter(F.col("_b.d") < width))
+        done = found if done is None else done.unionByName(found)
+        spots = steps.cut(spots.join(found, [lat, lon], "left_anti"))
+        if last or spots.isEmpty():
+            break
+        width *= 2
+    return facts.join(done, [lat, lon]).withColumns({f"nearest_{key}": F.col("_b.k"), "distance": F.col("_b.d")}).drop("_b")
 
 
 def within_distance(df: DataFrame, key: str, lat: str, lon: str, reach: float) -> DataFrame:

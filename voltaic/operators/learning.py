@@ -11,6 +11,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltaic.operators import ranks
+
 from voltaic.operators import drift
 
 
@@ -32,7 +34,7 @@ def errors(df: DataFrame, label: str, prediction: str = "prediction") -> DataFra
 
 def clipped(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Values held within two percentiles of the column, which are one row."""
-    bounds = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_b"))
+    bounds = ranks.quantiles(df, column, [low, high]).withColumnRenamed("q", "_b")
     return df.crossJoin(F.broadcast(bounds)).withColumn(column, F.greatest(F.col("_b")[0], F.least(F.col("_b")[1], F.col(column)))).drop("_b")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltaic.operators import steps
+
 #: The detectors, by kind of personal data.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -52,13 +54,16 @@ def pseudonym(value: Column, salt: str) -> Column:
 def lineage(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, depth) of every node reachable from starts (node) by edges (source, target) in at most depth steps.
 
-    One join a step; a node counts once for each start, at its least depth, so cycles end.
+    One join a step, written, so plans don't grow; a node counts once for each start, at its least depth, so cycles
+    end, and steps end when nothing new is reached.
     """
-    front = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"))
+    front = steps.cut(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")))
     seen = front
     for step in range(1, depth + 1):
         front = front.join(edges, front["node"] == edges["source"]).select("start", F.col("target").alias("node"), F.lit(step).alias("depth")).distinct()
-        front = front.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        front = steps.cut(front.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltaic.operators import ranks
+
 
 def profile(df: DataFrame, keys: list[str], ranges: dict[str, tuple[float, float]], ts: str | None = None, as_of: str | None = None) -> DataFrame:
     """One row: counts, nulls and out-of-range cells of every column, duplicate keys, future times. One pass."""
@@ -49,8 +51,8 @@ def backward_fill(df: DataFrame, column: str, keys: list[str], order: list[str])
 
 def fill_with(df: DataFrame, column: str, statistic: str = "mean") -> DataFrame:
     """Nulls become the column's mean or median; the statistic is one row, broadcast."""
-    value = F.avg(column) if statistic == "mean" else F.median(column)
-    return df.crossJoin(F.broadcast(df.agg(value.alias("_fill")))).withColumn(column, F.coalesce(column, "_fill")).drop("_fill")
+    value = df.agg(F.avg(column).alias("_fill")) if statistic == "mean" else ranks.quantiles(df, column, [0.5]).select(F.col("q")[0].alias("_fill"))
+    return df.crossJoin(F.broadcast(value)).withColumn(column, F.coalesce(column, "_fill")).drop("_fill")
 
 
 def drop_sparse(df: DataFrame, most: float = 0.5) -> DataFrame:
@@ -62,7 +64,7 @@ def drop_sparse(df: DataFrame, most: float = 0.5) -> DataFrame:
 def without_outliers(df: DataFrame, column: str, method: str = "iqr", limit: float = 1.5) -> DataFrame:
     """Rows inside limit quartile ranges around the quartiles, or inside limit deviations of the mean; nulls stay."""
     if method == "iqr":
-        s = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("_q")).select((F.col("_q")[0] - (F.col("_q")[1] - F.col("_q")[0]) * limit).alias("_lo"), (F.col("_q")[1] + (F.col("_q")[1] - F.col("_q")[0]) * limit).alias("_hi"))
+        s = ranks.quantiles(df, column, [0.25, 0.75]).withColumnRenamed("q", "_q").select((F.col("_q")[0] - (F.col("_q")[1] - F.col("_q")[0]) * limit).alias("_lo"), (F.col("_q")[1] + (F.col("_q")[1] - F.col("_q")[0]) * limit).alias("_hi"))
     else:
         s = df.agg((F.avg(column) - F.stddev(column) * limit).alias("_lo"), (F.avg(column) + F.stddev(column) * limit).alias("_hi"))
     return df.crossJoin(F.broadcast(s)).filter(F.col(column).isNull() | F.col(column).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")

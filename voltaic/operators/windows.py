@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from voltaic.operators import ranks
 from pyspark.sql.window import WindowSpec
 
 
@@ -54,8 +56,9 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_row = 1").drop("_row")
 
 
-def ewm(df: DataFrame, column: str, keys: list[str], order: list[str], alpha: float, rows: int = 100) -> DataFrame:
-    """Adjusted exponentially weighted mean of the last rows; the weight of older ones is under (1 - alpha) ** rows."""
+def ewm(df: DataFrame, column: str, keys: list[str], order: list[str], alpha: float, rows: int | None = None) -> DataFrame:
+    """Adjusted exponentially weighted mean; rows: of so many last rows, as far back as weights count in a double if not given."""
+    rows = rows or ranks.decay_rows(alpha)
     frame = ordered(keys, order).rowsBetween(-(rows - 1), 0)
     values = F.collect_list(column).over(frame)
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
@@ -75,13 +78,13 @@ def sliding_trend(df: DataFrame, column: str, keys: list[str], order: list[str],
 def global_outliers(df: DataFrame, column: str) -> DataFrame:
     """z over the whole table, percent rank with average ties, and the 1.5 IQR flag.
 
-    Statistics come from one aggregate, ranks from counts of each value: no window holds the whole table's rows, only
-    one row for each different value. Rows whose value is null stay, have no rank and don't count: z, pct_rank and the
+    Ranks and quartiles come from counts of each value, summed in cells of values. Rows whose value is null stay, have no rank and don't count: z, pct_rank and the
     flag are null.
     """
-    stats = df.agg(F.avg(column).alias("_m"), F.stddev(column).alias("_s"), F.count(column).alias("_n"), F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_ties"))
-    ranks = counts.withColumn("_below", F.coalesce(F.sum("_ties").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    stats = df.agg(F.avg(column).alias("_m"), F.stddev(column).alias("_s"), F.count(column).alias("_n"))
+    stats = stats.crossJoin(ranks.quantiles(df, column, [0.25, 0.75]).withColumnRenamed("q", "_q"))  # one row each
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_x")).agg(F.count("*").alias("_ties"))
+    placed = ranks.running(counts, "_x", ["_ties"]).select(F.col("_x").alias(column), "_ties", F.col("before__ties").alias("_below"))
     x, spread = F.col(column), (F.col("_q")[1] - F.col("_q")[0]) * 1.5
-    out = df.join(ranks, column, "left").crossJoin(F.broadcast(stats))  # stats is one row
+    out = df.join(placed, column, "left").crossJoin(F.broadcast(stats))  # stats is one row
     return out.withColumns({"z": (x - F.col("_m")) / F.col("_s"), "pct_rank": (F.col("_below") + (F.col("_ties") + 1) / 2) / F.col("_n"), "is_iqr_outlier": (x < F.col("_q")[0] - spread) | (x > F.col("_q")[1] + spread)}).drop("_m", "_s", "_n", "_q", "_ties", "_below")
