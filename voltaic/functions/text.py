@@ -113,3 +113,13 @@ def degree_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 
 def letter_grade(score: Column) -> Column:
     return first_match([(score >= 0.9, "A"), (score >= 0.8, "B"), (score >= 0.7, "C"), (score >= 0.6, "D")], "F")
+
+
+def audit(run_id: str, at: str) -> dict[str, Column]:
+    """When a row was written and by which run; at is an argument, as nothing here reads the clock."""
+    now = F.lit(at).cast("timestamp_ntz")
+    return {"created_at": now, "updated_at": now, "run_id": F.lit(run_id)}
+
+
+def origin(system: str, batch_id: str, at: str) -> dict[str, Column]:
+    return {"source_system": F.lit(system), "ingestion_batch_id": F.lit(batch_id), "processed_at": F.lit(at).cast("timestamp_ntz")}
