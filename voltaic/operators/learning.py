@@ -11,9 +11,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltaic.operators import ranks
-
-from voltaic.operators import drift
+from voltaic.operators import drift, ranks
 
 
 def prepared(df: DataFrame, columns: list[str], features: str = "features") -> Pipeline:

@@ -137,8 +137,11 @@ def selected_features(spark, sf_dir):
     return learning.best_features(names, "consumption_kwh", 2).fit(df).transform(df).select("event_id", vector_to_array("features").alias("features"))
 
 
-@query("encoded_categories")
+@query("encoded_categories", "WITH " + READINGS_SQL + """,
+a AS (SELECT event_type, row_number() OVER (ORDER BY count(*) DESC, event_type) AS k FROM readings GROUP BY 1), b AS (SELECT tariff_type, row_number() OVER (ORDER BY count(*) DESC, tariff_type) AS k FROM readings GROUP BY 1)
+SELECT event_id, CAST(a.k AS BIGINT) AS event_type, CAST(b.k AS BIGINT) AS tariff_type, (SELECT count(*) FROM a) AS width FROM readings JOIN a USING (event_type) JOIN b USING (tariff_type)""")
 def encoded_categories(spark, sf_dir):
     df = readings(spark, sf_dir).select("event_id", "event_type", "tariff_type")
     out = learning.encoded(["event_type", "tariff_type"]).fit(df).transform(df)
-    return out.select("event_id", vector_to_array("event_type_vector").alias("event_type"), vector_to_array("tariff_type_vector").alias("tariff_type"))
+    place = lambda c: F.array_position(vector_to_array(f"{c}_vector"), 1.0).cast("long").alias(c)  # noqa: E731  where the one stands
+    return out.select("event_id", place("event_type"), place("tariff_type"), F.size(vector_to_array("event_type_vector")).cast("long").alias("width"))

@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from voltaic.functions import energy
-from voltaic.operators import joins, learning, windows
+from voltaic.operators import joins, learning, quality, windows
 from voltaic.plans.readings import READINGS_SQL, readings
 from voltaic.plans.registry import query
 
@@ -82,8 +82,15 @@ def forecast_errors(spark, sf_dir):
     return learning.errors(model.transform(df.filter("late")), "value")
 
 
-@query("scaled_features")
+@query("scaled_features", "WITH " + READINGS_SQL + """,
+m AS (SELECT quantile_cont(consumption_kwh, 0.5) AS a, quantile_cont(voltage_v, 0.5) AS b, quantile_cont(frequency_hz, 0.5) AS c FROM readings),
+f AS (SELECT event_id, coalesce(consumption_kwh, a) AS x, coalesce(voltage_v, b) AS y, coalesce(frequency_hz, c) AS z FROM readings, m)
+SELECT event_id, round((x - avg(x) OVER ()) / stddev(x) OVER (), 5) AS consumption_kwh, round((y - avg(y) OVER ()) / stddev(y) OVER (), 5) AS voltage_v, round((z - avg(z) OVER ()) / stddev(z) OVER (), 5) AS frequency_hz FROM f""")
 def scaled_features(spark, sf_dir):
+    """Nulls become the exact median, then every column has mean 0 and deviation 1."""
     names = ["consumption_kwh", "voltage_v", "frequency_hz"]
     df = readings(spark, sf_dir).select("event_id", *names)
-    return learning.prepared(df, names).fit(df).transform(df).select("event_id", vector_to_array("features").alias("features"))
+    for name in names:
+        df = quality.fill_with(df, name, "median")
+    scaled = learning.prepared(df, names).fit(df).transform(df).withColumn("v", vector_to_array("features"))
+    return scaled.select("event_id", *[F.round(F.col("v")[i], 5).alias(n) for i, n in enumerate(names)])

@@ -153,7 +153,9 @@ def ab_statistics(spark, sf_dir):
     return s.select("n_a", "n_b", r("mean_a"), r("mean_b"), r("t"), r("effect"))
 
 
-@query("ab_routing")
+@query("ab_routing", """
+WITH h AS (SELECT c_custkey, md5(c_name || '_test') AS m FROM customer), p AS (SELECT c_custkey, CAST('0x' || substr(m, 1, 8) AS BIGINT) AS a, CAST('0x' || substr(m, 9, 8) AS BIGINT) AS b, CAST('0x' || substr(m, 17, 8) AS BIGINT) AS c, CAST('0x' || substr(m, 25, 8) AS BIGINT) AS d FROM h)
+SELECT c_custkey, CASE WHEN (((a % 100 * 96 + b) % 100 * 96 + c) % 100 * 96 + d) % 100 < 30 THEN 'B' ELSE 'A' END AS variant FROM p""")
 def ab_routing(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", drift.ab_variant(F.col("c_name"), "test", 0.3).alias("variant"))
 

@@ -74,6 +74,11 @@ def read_kafka(spark: SparkSession, config: dict) -> DataFrame:
     return parse_messages(spark.read.format("kafka").options(**kafka_options(config)).load(), config["schema"])
 
 
+def stream_kafka(spark: SparkSession, config: dict) -> DataFrame:
+    """The topic as a stream, from the latest offsets on if none are given; a checkpoint belongs to the sink that the caller starts."""
+    return parse_messages(spark.readStream.format("kafka").options(**kafka_options({"offsets": "latest"} | config)).load(), config["schema"])
+
+
 READERS: dict[str, Reader] = {"csv": read_csv, "json": read_json, "jdbc": read_jdbc, "kafka": read_kafka, **{k: _files(k) for k in ("parquet", "orc", "text")}}
 
 
@@ -92,6 +97,36 @@ def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: list[st
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def jdbc_options(config: dict) -> dict:
+    """Options of a JDBC sink: rows a statement batch, connections at once, and no isolation, as rows are only appended."""
+    wanted = {k: config[k] for k in ("url", "dbtable", "user", "password", "driver") if k in config}
+    if "url" not in wanted or "dbtable" not in wanted:
+        raise ValueError("a JDBC sink needs url and dbtable")
+    return wanted | {"batchsize": str(config.get("batch_rows", 10_000)), "numPartitions": str(config.get("connections", 16)), "isolationLevel": config.get("isolation", "NONE")}
+
+
+def write_jdbc(df: DataFrame, config: dict, mode: str = "append") -> None:
+    df.write.format("jdbc").mode(mode).options(**jdbc_options(config)).save()
+
+
+class Sources:
+    """Named source configurations, one of them primary: read() takes that unless another is named."""
+
+    def __init__(self, configs: dict[str, dict], primary: str, overrides: dict[str, str] | None = None):
+        """overrides: values by NAME_KEY in capitals, such as an environment, that replace those of configs."""
+        self.configs = {name: {k: (overrides or {}).get(f"{name}_{k}".upper(), v) for k, v in c.items()} for name, c in configs.items()}
+        self.switch((overrides or {}).get("PRIMARY_SOURCE", primary))
+
+    def switch(self, name: str) -> None:
+        if name not in self.configs:
+            raise ValueError(f"unknown source {name}; known: {sorted(self.configs)}")
+        self.primary = name
+
+    def read(self, spark: SparkSession, name: str | None = None) -> DataFrame:
+        config = dict(self.configs[name or self.primary])
+        return read(spark, config.pop("type"), **config)
+
+
 def write_all(df: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> dict[str, str]:
     """Every sink gets df, computed once; "success" or the error of each. A failing sink doesn't stop the others."""
     df = df.persist()
