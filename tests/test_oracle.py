@@ -18,7 +18,6 @@ def test_matches_sql(spark, con, name):
     assert difference(QUERIES[name](spark, SF), con, ORACLE_SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLE_SQL.keys()))
-def test_runs(spark, name):
-    df = QUERIES[name](spark, SF)
-    assert len(df.columns) == len(set(df.columns)) and df.count() >= 0
+def test_the_others_are_models():
+    """Queries without SQL fit models; test_models.py holds them against numpy and bounds."""
+    assert QUERIES.keys() - ORACLE_SQL.keys() == {"failure_risk", "forecast_errors", "component_drift", "cluster_anomalies", "selected_features"}
