@@ -98,6 +98,29 @@ def test_media_query(spark, docs, odd, none):
     assert webp.decode_payloads(webp.encode_payloads([webp.pad(long)]))[0][0] == webp.pad(long)
 
 
+def first_transform(file: bytes) -> int | None:
+    """0 predictor, 1 cross-colour, 2 green, 3 palette: bits 1 and 2 after the 40 of the header."""
+    return (file[25] >> 1) & 3 if file[25] & 1 else None
+
+
+def test_the_query_chooses_among_transforms(spark):
+    """Texts for which each transform pays are stored with it, and come back whole; prose takes none."""
+    rng = np.random.default_rng(8)
+    n = 144 * 6
+    walk = 80 + np.clip(np.cumsum(rng.integers(-1, 2, (n, 4)), axis=0), -40, 40)
+    grey = np.repeat(rng.integers(48, 122, (n, 1)), 4, axis=1)
+    half = rng.integers(64, 126, (n, 4))
+    half[:, 0] = 32 + ((16 * half[:, 1]) >> 5)  # red follows green
+    few = rng.integers(65, 67, (n // 6, 4))
+    texts = {0: walk, 2: grey, 1: half, 3: np.repeat(few[:, :1], 4, axis=1)}
+    rows = [(k, bytes(v.astype(np.uint8).ravel()).decode()) for k, v in texts.items()] + [(9, "".join(rng.choice(list("abcdefghij klmnop"), 3000)))]
+    stored = webp.store_payloads(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r for r in webp.read_payloads(stored).collect()}
+    for k, text in rows:
+        assert bytes(got[k].pixels) == webp.pad(text.encode())
+        assert first_transform(bytes(got[k].media)) == (k if k < 9 else None)
+
+
 # ---- tokens and packing
 
 
