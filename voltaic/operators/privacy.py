@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +24,25 @@ PATTERNS = {
 }
 
 
+#: What a text must hold for a pattern to match in it: a character, or three digits in a row.
+NEEDS = {"email": "@", "mac_address": ":-", "ip_address": ".", "date_of_birth": "/"}
+
+
+def _matches(text: Column, kind: str) -> Column:
+    """All matches of a kind; its pattern runs only over texts that hold what it needs."""
+    may = reduce(or_, [text.contains(c) for c in NEEDS[kind]]) if kind in NEEDS else text.rlike("[0-9]{3}")
+    none = F.array().cast("array<string>")
+    return F.when(may, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(none)
+
+
 def detect(text: Column) -> dict[str, Column]:
     """How many of each kind a text holds."""
-    return {kind: F.coalesce(F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0))), F.lit(0)) for kind, p in PATTERNS.items()}
+    return {kind: F.size(_matches(text, kind)) for kind in PATTERNS}
 
 
 def findings(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind, match) of every match."""
-    found = F.concat(*[F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), lambda m, k=kind: F.struct(F.lit(k).alias("kind"), m.alias("match"))) for kind, p in PATTERNS.items()])
+    found = F.concat(*[F.transform(_matches(F.col(text), kind), lambda m, k=kind: F.struct(F.lit(k).alias("kind"), m.alias("match"))) for kind in PATTERNS])
     return df.select(key, F.explode(found).alias("f")).select(key, "f.kind", "f.match")
 
 
