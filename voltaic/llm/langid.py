@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1024
 _BATCH_CHARS = 200_000
+_CELLS = 1 << 22
 #: A training text's trigrams weigh this together, in whole numbers.
 _WEIGHT = 1 << 20
 _tables: dict[str, np.ndarray] = {}
@@ -74,9 +75,14 @@ class Trigrams:
 
     def bundles(self, weights: np.ndarray, dtype=np.float32) -> np.ndarray:
         """(texts, dimensions): the weighted sums of each text's trigram vectors."""
-        table = np.zeros((self.texts, len(self.grams)), dtype)
-        table[self.text, self.gram] = weights
-        return table @ self.vectors().astype(dtype)
+        vectors, out = self.vectors().astype(dtype), []
+        step = max(1, _CELLS // max(1, len(self.grams)))  # texts at a time: many short ones have many trigrams together
+        for first in range(0, max(1, self.texts), step):
+            a, b = np.searchsorted(self.text, (first, first + step))
+            table = np.zeros((min(step, self.texts - first), len(self.grams)), dtype)
+            table[self.text[a:b] - first, self.gram[a:b]] = weights[a:b]
+            out.append(table @ vectors)
+        return np.concatenate(out)
 
 
 def _parts(texts: list[str]) -> Iterator[range]:
