@@ -26,7 +26,8 @@ def sequence(df: DataFrame, keys: list[str], ts: str, order: str, kind: str, wan
     for i, step in enumerate(wanted[1:], 1):
         open_ = out.filter(F.col(f"_m{i - 1}").isNotNull()).select(*keys, f"_m{i - 1}")
         later = df.filter(F.col(kind) == step).select(*keys, at.alias("_at")).join(open_, keys).filter(F.col("_at") > F.col(f"_m{i - 1}"))
-        out = steps.cut(out.join(later.groupBy(*keys).agg(F.min("_at").alias(f"_m{i}")), keys, "left"))
+        out = out.join(later.groupBy(*keys).agg(F.min("_at").alias(f"_m{i}")), keys, "left")
+        out = steps.cut(out) if i + 1 < len(wanted) else out
     found = [F.col(f"_m{i}").isNotNull().cast("int") for i in range(len(wanted))]
     return out.select(*keys, sum(found[1:], found[0]).alias("matched")).withColumn("confidence", F.col("matched") / F.lit(float(len(wanted))))
 

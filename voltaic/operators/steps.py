@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,5 +20,6 @@ def folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written and read again."""
-    folder(df.sparkSession)
-    return df.checkpoint()
+    path = f"{folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
