@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voltaic.llm import langid, mixing, packing, quality, simhash, substrings, tokens, topk, toxicity, webp
+from voltaic.llm import divergence, filter_audit, langid, mixing, packing, pieces, quality, simhash, substrings, tokens, topk, toxicity, webp
 from voltaic.llm._common import crc_mod, cut, table
 
 #: Paths of the public vocabularies; operators take any such path.
 COUNTING = public_tokenizers.path("byte_bpe_50k.json")
 PACKING = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,21 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, model, good=2).withColumn("held_out", crc_mod("doc_id", 5) == 0)
 
 
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts, told by their digests."""
+    coded = pieces.encode(table(spark, sf_dir, "documents"), PIECES, decoded=True)
+    numbers = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": media_columns,
     "op2_mix_sources": mix_sources,
@@ -85,7 +101,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity_scores,
     "op9_substring_dedup": substring_dedup,
     "op10_quality_classifier": quality_classifier,
+    "op11_filter_audit": filter_interactions,
+    "op12_sentencepiece": sentencepiece_round_trip,
+    "op13_source_divergence": source_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.SQL, "op5_exact_top_k": topk.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.SQL, "op5_exact_top_k": topk.SQL, "op11_filter_audit": filter_audit.SQL, "op13_source_divergence": divergence.SQL}
