@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voltaic.operators import sourcing, steps
 from voltaic.plans.registry import query
 from voltaic.sources import registry as sources
-from voltaic.streaming import jobs
+from voltaic.streaming import jobs, patterns
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -74,6 +74,79 @@ def stream_latest(spark, sf_dir):
     return jobs.settle(s, ["user_id"], "ts", fresh(spark, "latest"), mode="append").select("user_id", plain("ts"), "event_id", "value")
 
 
+def in_slices(spark, sf_dir, run, slices: int = 3) -> DataFrame:
+    """Events arrive in slices of time; after each, run(stream) goes on from its checkpoint. What it gives in the end."""
+    folder = fresh(spark, "arriving")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    low, high = e.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(F.min("t"), F.max("t")).first()
+    share = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(low)) * F.lit(slices) / F.lit(max(1, (high or 0) - (low or 0) + 1)))
+    for k in range(slices):
+        e.filter(share == k).write.mode("append").parquet(folder)
+        out = run(jobs.stream(spark, folder, EVENTS, "ts"))
+    return out
+
+
+#: Milliseconds that the watermark has reached in the end: ten minutes before the last event.
+_PASSED = "(SELECT max(epoch_ms(ts)) - 600000 FROM events)"
+
+
+@query("stream_sequence", """
+WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+a AS (SELECT user_id, min(n) AS n1 FROM s WHERE event_type = 'signup' GROUP BY 1),
+b AS (SELECT a.user_id, min(n) AS n2 FROM a JOIN s ON s.user_id = a.user_id AND n > n1 AND event_type = 'click' GROUP BY 1),
+c AS (SELECT b.user_id, min(n) AS n3 FROM b JOIN s ON s.user_id = b.user_id AND n > n2 AND event_type = 'purchase' GROUP BY 1)
+SELECT user_id, CAST((n1 IS NOT NULL)::INT + (n2 IS NOT NULL)::INT + (n3 IS NOT NULL)::INT AS INTEGER) AS matched FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN a USING (user_id) LEFT JOIN b USING (user_id) LEFT JOIN c USING (user_id)""")
+def stream_sequence(spark, sf_dir):
+    """What cep_sequence finds in the table, kept up to date while the events arrive."""
+    path = fresh(spark, "sequence")
+
+    def run(arriving):
+        out = patterns.progress(arriving, ["user_id"], "ts", "event_id", "event_type", ["signup", "click", "purchase"], late="10 minutes")
+        with patterns.state_store(spark):
+            return jobs.settle(out.select("user_id", "matched"), ["user_id"], "matched", path)
+
+    return in_slices(spark, sf_dir, run)
+
+
+@query("stream_patterns", f"""
+WITH e AS (SELECT user_id, ts, event_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE epoch_ms(ts) <= {_PASSED}),
+a AS (SELECT user_id, ts AS started, t, event_id, n FROM e WHERE event_type = 'view'),
+b AS (SELECT a.user_id, a.event_id, min(e.n) AS n2 FROM a JOIN e ON e.user_id = a.user_id AND e.n > a.n AND e.event_type = 'click' GROUP BY 1, 2),
+b2 AS (SELECT b.*, e.t AS t2 FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n2),
+c AS (SELECT b.user_id, b.event_id, min(e.n) AS n3 FROM b JOIN e ON e.user_id = b.user_id AND e.n > b.n2 AND e.event_type = 'purchase' GROUP BY 1, 2),
+c2 AS (SELECT c.*, e.t AS t3, e.ts AS ts3 FROM c JOIN e ON e.user_id = c.user_id AND e.n = c.n3),
+r AS (SELECT a.user_id, started, a.event_id, t3 - a.t <= 172800000000 AS complete, ts3, CASE WHEN t3 - a.t <= 172800000000 THEN 3 WHEN t2 - a.t <= 172800000000 THEN 2 ELSE 1 END AS matched, a.t
+  FROM a LEFT JOIN b2 USING (user_id, event_id) LEFT JOIN c2 USING (user_id, event_id))
+SELECT user_id, started, event_id, CASE WHEN complete THEN ts3 END AS ended, CAST(matched AS INTEGER) AS matched, coalesce(complete, false) AS complete FROM r
+WHERE complete OR t + 172800000000 < {_PASSED} * 1000""")
+def stream_patterns(spark, sf_dir):
+    """Every view that a click and then a purchase follow within two days, and how far the others came."""
+    path = fresh(spark, "patterns")
+
+    def run(arriving):
+        out = patterns.patterns(arriving, ["user_id"], "ts", "event_id", "event_type", ["view", "click", "purchase"], 172_800, late="10 minutes")
+        with patterns.state_store(spark):
+            return jobs.drain(out, path)
+
+    return in_slices(spark, sf_dir, run).select("user_id", plain("started"), F.col("tie").alias("event_id"), plain("ended"), "matched", "complete")
+
+
+@query("stream_buffer", f"""
+WITH n AS (SELECT *, max(epoch_us(ts)) OVER (PARTITION BY event_type) AS newest, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events),
+h AS (SELECT *, k <= 50 AND epoch_us(ts) > newest - 86400000000 AND newest + 86400000000 >= {_PASSED} * 1000 AS held FROM n)
+SELECT event_type, count(*) FILTER (held) AS n, round(sum(value) FILTER (held), 6) AS total, min(value) FILTER (held) AS low, max(value) FILTER (held) AS high, min(ts) FILTER (held) AS oldest FROM h GROUP BY 1""")
+def stream_buffer(spark, sf_dir):
+    """Of each type the newest events, 50 at most and none a day older than the newest; one of the two is always at play."""
+    path = fresh(spark, "buffer")
+
+    def run(arriving):
+        out = patterns.buffered(arriving, ["event_type"], "ts", "event_id", "value", 50, 86_400, late="10 minutes")
+        with patterns.state_store(spark):
+            return jobs.settle(out, ["event_type"], "revision", path)
+
+    return in_slices(spark, sf_dir, run).select("event_type", "n", F.round("total", 6).alias("total"), "low", "high", plain("oldest"))
+
+
 @query("source_round_trips", "SELECT kind, event_id, user_id, value FROM events, (SELECT unnest(['csv', 'json', 'orc', 'parquet']) AS kind)")
 def source_round_trips(spark, sf_dir):
     """Events written to and read from each kind of file."""

@@ -67,12 +67,13 @@ def running_zscore(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).applyInPandasWithState(score, f"{key} {kind}, {value} double, z double", "n long, mean double, squares double", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert(keys: list[str], order: str, path: str, buckets: int = 32) -> Callable[[DataFrame, int], None]:
+def upsert(keys: list[str], order: str, path: str, buckets: int | None = None, whole: bool = False) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the latest row of each key, as a new version of the table at path; a batch again changes nothing.
 
-    Keys lie in buckets. A version holds the buckets that its batch touched and names, for all others, the version that
-    holds them, so a batch rewrites only what it touches. A batch builds on the latest version before it, whatever its
-    number; a new checkpoint over a table that has later versions is refused, as it would lose them.
+    Keys lie in buckets, as many as the session has shuffle partitions when the table begins (or buckets); a table keeps its number. A version
+    holds the buckets that its batch touched and names, for all others, the version that holds them, so a batch rewrites only what it
+    touches. whole: each batch is all there is (complete mode), and nothing of the version before stays. A batch builds on the
+    latest version before it, whatever its number; a new checkpoint over a table that has later versions is refused, as it would lose them.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -81,16 +82,19 @@ def upsert(keys: list[str], order: str, path: str, buckets: int = 32) -> Callabl
         if any(v > number for v in known):
             raise ValueError(f"{path} holds version {max(known)}, batch {number} comes after it: take a new folder for a new checkpoint")
         before = max((v for v in known if v < number), default=None)
-        keyed = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
-        touched = [r.bucket for r in keyed.select("bucket").distinct().collect()]
-        held = {} if before is None else places(spark, path, before)
-        old = [f"{path}/version={v}/bucket={b}" for b, v in held.items() if b in touched]
-        rows = keyed if not old else keyed.unionByName(spark.read.option("basePath", path).parquet(*old).drop("version"))
+        held, count = ({}, None) if before is None else places(spark, path, before)
+        count = count or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = lambda df: df.withColumn("upsert_bucket", F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int"))
+        keyed = dealt(batch).persist()
+        touched = [r.upsert_bucket for r in keyed.select("upsert_bucket").distinct().collect()]
+        held = {} if whole else held
+        old = [f"{path}/version={v}/upsert_bucket={b}" for b, v in held.items() if b in touched]
+        rows = keyed if not old else keyed.unionByName(dealt(spark.read.schema(batch.schema).parquet(*old)))
         others = [c for c in batch.columns if c not in keys]
-        latest = rows.groupBy("bucket", *keys).agg(F.max_by(F.struct(*others), order).alias("r")).select("bucket", *keys, "r.*")
-        latest.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
+        latest = rows.groupBy("upsert_bucket", *keys).agg(F.max_by(F.struct(*others), order).alias("r")).select("upsert_bucket", *keys, "r.*")
+        latest.write.mode("overwrite").partitionBy("upsert_bucket").parquet(f"{path}/version={number}")
         now = held | dict.fromkeys(touched, number)
-        spark.createDataFrame(sorted(now.items()), "bucket int, at long").coalesce(1).write.mode("overwrite").parquet(f"{path}/places={number}")
+        spark.createDataFrame([(b, v, count) for b, v in sorted(now.items())], "bucket int, at long, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/places={number}")
         keyed.unpersist()
 
     return run
@@ -104,15 +108,20 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName().removeprefix("places=")) for f in found)
 
 
-def places(spark: SparkSession, path: str, version: int) -> dict[int, int]:
-    """Of each bucket, the version that holds it."""
-    return {r.bucket: r.at for r in spark.read.parquet(f"{path}/places={version}").collect()}
+def places(spark: SparkSession, path: str, version: int) -> tuple[dict[int, int], int | None]:
+    """Of each bucket, the version that holds it; and how many buckets there are, None if none holds a row."""
+    rows = spark.read.parquet(f"{path}/places={version}").collect()
+    return {r.bucket: r.at for r in rows}, rows[0].buckets if rows else None
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The table at path as its latest version has it."""
-    held = places(spark, path, versions(spark, path)[-1])
-    return spark.read.option("basePath", path).parquet(*[f"{path}/version={v}/bucket={b}" for b, v in held.items()]).drop("version", "bucket")
+def current(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The table at path as its latest version has it; without a version or a row, an empty one of that schema."""
+    known = versions(spark, path)
+    held = places(spark, path, known[-1])[0] if known else {}
+    if not held:
+        return spark.createDataFrame([], schema)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(*[f"{path}/version={v}/upsert_bucket={b}" for b, v in held.items()])
 
 
 def scored_patterns(df: DataFrame, ts: str, keys: list[str], kind: str, size: str, rules: dict[str, Column], late: str = "15 seconds") -> DataFrame:
@@ -127,13 +136,14 @@ def scored(df: DataFrame, model, columns: list[str]) -> DataFrame:
 
 
 def settle(df: DataFrame, keys: list[str], order: str, path: str, mode: str = "update") -> DataFrame:
-    """Run a stream over what is there, its latest row of each key into the table at path, and return that."""
+    """Run a stream over what is there, its latest row of each key into the table at path, and return that. In complete
+    mode a batch takes the place of the whole table: what it no longer has, as a session that grew and begins earlier, is gone."""
     spark = df.sparkSession
-    query = df.writeStream.outputMode(mode).foreachBatch(upsert(keys, order, path)).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+    query = df.writeStream.outputMode(mode).foreachBatch(upsert(keys, order, path, whole=mode == "complete")).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return current(spark, path)
+    return current(spark, path, df.schema)
 
 
 def drain(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
