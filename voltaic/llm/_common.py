@@ -6,8 +6,9 @@ import tempfile
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,6 +62,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _holds(kind: T.DataType, what: tuple[type, ...]) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds(f.dataType, what) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _holds(kind.elementType, what)
+    return isinstance(kind, what)
+
+
+def comparable(column: Column, kind: T.DataType) -> Column:
+    """The column with what Spark can't hash in a form that it can, at any depth: maps as arrays of their entries,
+    ordered by the entries' hashes, and variants as their JSON. Alike values stay alike, different ones different."""
+    if isinstance(kind, T.VariantType):
+        return F.to_json(column)
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(comparable(e["key"], kind.keyType).alias("key"), comparable(e["value"], kind.valueType).alias("value"))
+        ranked = F.transform(F.map_entries(column), lambda e: F.struct(F.xxhash64(entry(e)).alias("rank"), F.hash(entry(e)).alias("tie"), entry(e).alias("entry")))
+        return F.array_sort(ranked, lambda a, b: F.when(a["rank"] != b["rank"], F.when(a["rank"] < b["rank"], -1).otherwise(1)).when(a["tie"] < b["tie"], -1).when(a["tie"] > b["tie"], 1).otherwise(0))
+    if not _holds(kind, (T.MapType, T.VariantType)):
+        return column
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: comparable(x, kind.elementType))
+    fields = F.struct(*(comparable(column[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)))
+    return F.when(column.isNotNull(), fields)
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the column's text form, modulo n; null is taken as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
