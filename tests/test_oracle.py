@@ -19,6 +19,6 @@ def test_matches_sql(spark, con, name):
 
 
 def test_the_others_are_models():
-    """Queries without SQL fit models or find clusters; test_models.py and test_detectors.py hold them against numpy, brute force and bounds."""
+    """Queries without SQL fit models or find clusters; test_models.py, test_detectors.py and test_series.py hold them against numpy, brute force and bounds."""
     models = {"failure_risk", "forecast_errors", "component_drift", "cluster_anomalies", "selected_features"}
-    assert QUERIES.keys() - ORACLE_SQL.keys() == models | {"isolation_forest", "density_clusters", "one_class_machine", "anomaly_vote"}
+    assert QUERIES.keys() - ORACLE_SQL.keys() == models | {"isolation_forest", "density_clusters", "one_class_machine", "anomaly_vote", "arima_errors", "seasonal_errors"}

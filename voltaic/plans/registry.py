@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def _load() -> None:
     """The modules that register queries."""
-    from voltaic.plans import assurance, climate, contracts, details, detection, experiments, extensions, governance, metering, overview, relational, repository, signals, streams, timeline  # noqa: F401
+    from voltaic.plans import assurance, climate, contracts, details, detection, experiments, extensions, governance, metering, overview, relational, repository, series, signals, streams, timeline  # noqa: F401
 
 
 _load()
