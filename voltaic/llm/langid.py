@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1024
 _BATCH_CHARS = 200_000
-_CELLS = 1 << 22
+#: Numbers in a table of weights at most, and trigrams whose vectors are made at a time.
+_CELLS, _SEGMENT = 1 << 22, 4096
 #: A training text's trigrams weigh this together, in whole numbers.
 _WEIGHT = 1 << 20
 _tables: dict[str, np.ndarray] = {}
@@ -69,20 +70,34 @@ class Trigrams:
         self.grams, self.gram = np.unique(gram, return_inverse=True)
         self.base, self.texts = m, len(texts)
 
-    def vectors(self) -> np.ndarray:
-        first, second, third = self.grams // self.base**2, self.grams // self.base % self.base, self.grams % self.base
-        return np.roll(self.items, 2, axis=1)[first] * np.roll(self.items, 1, axis=1)[second] * self.items[third]
-
-    def bundles(self, weights: np.ndarray, dtype=np.float32) -> np.ndarray:
-        """(texts, dimensions): the weighted sums of each text's trigram vectors."""
-        vectors, out = self.vectors().astype(dtype), []
-        step = max(1, _CELLS // max(1, len(self.grams)))  # texts at a time: many short ones have many trigrams together
-        for first in range(0, max(1, self.texts), step):
-            a, b = np.searchsorted(self.text, (first, first + step))
-            table = np.zeros((min(step, self.texts - first), len(self.grams)), dtype)
-            table[self.text[a:b] - first, self.gram[a:b]] = weights[a:b]
-            out.append(table @ vectors)
-        return np.concatenate(out)
+    def vectors(self, first: int, last: int) -> np.ndarray:
+        """The vectors of trigrams first to last - 1."""
+        grams = self.grams[first:last]
+        a, b, c = grams // self.base**2, grams // self.base % self.base, grams % self.base
+        return np.roll(self.items, 2, axis=1)[a] * np.roll(self.items, 1, axis=1)[b] * self.items[c]
+
+    def bundles(self, weights: np.ndarray, dtype=np.float32, owner: np.ndarray | None = None, owners: int = 0) -> np.ndarray:
+        """(owners, dimensions): the weighted sums of each owner's trigram vectors; owner: of each entry, its text by default.
+
+        The trigrams are taken segment by segment, and owners so many at a time, so that neither a long text of many
+        different letters nor many short texts make a large table.
+        """
+        owner, owners = (self.text, self.texts) if owner is None else (owner, owners)
+        out = np.zeros((owners, self.items.shape[1]), dtype)
+        order = np.argsort(self.gram, kind="stable")
+        gram, owner, weights = self.gram[order], owner[order], weights[order]
+        for first in range(0, len(self.grams), _SEGMENT):
+            vectors = self.vectors(first, first + _SEGMENT).astype(dtype)
+            a, b = np.searchsorted(gram, (first, first + _SEGMENT))
+            own = owner[a:b]
+            step = max(1, _CELLS // len(vectors))
+            for low in range(0, owners, step):
+                here = (own >= low) & (own < low + step)
+                if here.any():
+                    table = np.zeros((min(step, owners - low), len(vectors)), dtype)
+                    np.add.at(table, (own[here] - low, gram[a:b][here] - first), weights[a:b][here])
+                    out[low : low + step] += table @ vectors
+        return out
 
 
 def _parts(texts: list[str]) -> Iterator[range]:
@@ -113,9 +128,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dimension
                 weights = grams.count * _WEIGHT // np.maximum(length, 1).astype(np.int64)[grams.text]
                 names = sorted({langs[i] for i in part})
                 by_lang = np.searchsorted(names, [langs[i] for i in part])
-                table = np.zeros((len(names), len(grams.grams)))
-                np.add.at(table, (by_lang[grams.text], grams.gram), weights)
-                for name, vector in zip(names, table @ grams.vectors().astype(np.float64), strict=True):
+                for name, vector in zip(names, grams.bundles(weights, np.float64, by_lang[grams.text], len(names)), strict=True):
                     total[name] = total.get(name, 0) + vector.astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
