@@ -1,12 +1,16 @@
 """SimHash near-duplicates with pivot distance tables.
 
 Fingerprints within MAX_BITS differing bits link. The 64 bits fall into parts, and every part has reference fingerprints
-(pivots); a fingerprint's coordinates are its Hamming distances to them on that part. A differing bit moves the
-coordinates of its part alone, by one at most, so two fingerprints that link have equal coordinates on all parts but
-MAX_BITS: these are the cells through which pairs are dealt and sought. Within a cell a table of distances to pivots of
-all 64 bits discards every pair with a coordinate difference over MAX_BITS, and the survivors are verified. Only links of
-a spanning forest of each cell leave it: a fingerprint that is reached is compared with those not yet reached.
-A cell can't hold more than 2 ** 22 different fingerprints, whatever the size of the corpus.
+(pivots); a fingerprint's coordinates are its Hamming distances to them on that part. Pivots are a random pattern and
+all that differ from it in one bit, so coordinates tell all patterns of a part apart. Two fingerprints that link have
+equal coordinates on all parts but MAX_BITS: these are the cells through which pairs are dealt and sought. Within a cell
+a table of distances to pivots of all 64 bits discards every pair with a coordinate difference over MAX_BITS, and the
+survivors are verified. Only links of a spanning forest of each cell leave it: a fingerprint that is reached is compared
+with those not yet reached.
+
+A cell leaves at most 22 bits open, so it holds 2 ** 22 different fingerprints at most, whatever the size of the corpus.
+One of more than LARGE is dealt once more: its open bits fall into parts with pivots of their own, which leaves cells of
+8 open bits, 256 fingerprints at most, one task's work each.
 """
 
 from __future__ import annotations
@@ -24,17 +28,31 @@ from voltaic.llm._common import cut, drop_cut
 from voltaic.llm.components import connected_components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
-#: Widths of the parts, 64 bits together, and pivots of each.
-PARTS, PART_PIVOTS = (11, 11, 11, 11, 10, 10), 8
+#: Widths of the parts, 64 bits together. A cell of more fingerprints than LARGE is dealt once more, by so many parts of its open bits.
+PARTS, LARGE, FINER = (11, 11, 11, 11, 10, 10), 4096, 6
 #: Pivots of all bits. Pairs of cells up to SMALL are compared many cells at once.
 PIVOTS, SMALL = 24, 64
 _RNG = np.random.default_rng(64)
 _REFERENCES = _RNG.integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
-_PART_REFERENCES = _RNG.integers(0, 1 << 64, (len(PARTS), PART_PIVOTS), dtype=np.uint64)
-_MASKS = np.array([((1 << w) - 1) << (sum(PARTS[:i])) for i, w in enumerate(PARTS)], np.uint64)
-#: The parts on which two linked fingerprints agree, for each choice, with factors that make one number of their coordinates.
+#: The parts on which two linked fingerprints agree, for each choice; factors make one number of their coordinates.
 _CHOICES = list(combinations(range(len(PARTS)), len(PARTS) - MAX_BITS))
-_FACTORS = _RNG.integers(0, 1 << 63, (len(_CHOICES), len(PARTS)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FINER = list(combinations(range(FINER), FINER - MAX_BITS))
+_FACTORS = _RNG.integers(0, 1 << 63, (max(len(_CHOICES), len(_FINER)), max(len(PARTS), FINER)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = int(_RNG.integers(0, 1 << 64, dtype=np.uint64))
+
+
+def _masks(bits: list[int], widths: list[int]) -> list[list[int]]:
+    """The bits, dealt to parts of these widths."""
+    ends = list(accumulate(widths))
+    return [bits[end - width : end] for width, end in zip(widths, ends, strict=True)]
+
+
+#: The bits of each part; and of each choice's open bits, the finer parts.
+_PART_BITS = _masks(list(range(64)), list(PARTS))
+_OPEN_BITS = []
+for _choice in _CHOICES:
+    _open = [b for k, bits in enumerate(_PART_BITS) if k not in _choice for b in bits]
+    _OPEN_BITS.append([_open[k::FINER] for k in range(FINER)])
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -74,15 +92,21 @@ def pivot_table(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ _REFERENCES[None, :]).astype(np.int8)
 
 
-def cell_numbers(fps: np.ndarray) -> np.ndarray:
+def _coordinates(fps: np.ndarray, parts: list[list[int]]) -> np.ndarray:
+    """For each fingerprint and part, its distances to the part's pivots as one number."""
+    codes = np.zeros((len(fps), len(parts)), np.uint64)
+    for k, bits in enumerate(parts):
+        mask = np.uint64(sum(1 << b for b in bits))
+        for pivot in (_BASE, *(_BASE ^ 1 << b for b in bits)):
+            codes[:, k] = codes[:, k] * np.uint64(16) + np.bitwise_count((fps ^ np.uint64(pivot)) & mask)
+    return codes
+
+
+def _numbers(codes: np.ndarray, choices: list[tuple[int, ...]]) -> np.ndarray:
     """For each fingerprint and choice of parts, a number for its coordinates there (choices apart; that two cells get
     one number costs some comparisons and no link)."""
-    codes = np.zeros((len(fps), len(PARTS)), np.uint64)
-    for k in range(PART_PIVOTS):
-        distances = np.bitwise_count((fps[:, None] ^ _PART_REFERENCES[None, :, k]) & _MASKS[None, :])
-        codes = codes * np.uint64(16) + distances
-    cells = np.zeros((len(fps), len(_CHOICES)), np.uint64)
-    for c, parts in enumerate(_CHOICES):
+    cells = np.zeros((len(codes), len(choices)), np.uint64)
+    for c, parts in enumerate(choices):
         for part in parts:
             cells[:, c] += codes[:, part] * _FACTORS[c, part]
         cells[:, c] ^= cells[:, c] >> np.uint64(31)
@@ -90,6 +114,20 @@ def cell_numbers(fps: np.ndarray) -> np.ndarray:
     return cells
 
 
+def cell_numbers(fps: np.ndarray) -> np.ndarray:
+    """The cells of each fingerprint, one for each choice of parts."""
+    return _numbers(_coordinates(fps, _PART_BITS), _CHOICES)
+
+
+def finer_numbers(fps: np.ndarray, cell: np.ndarray, choice: np.ndarray) -> np.ndarray:
+    """The finer cells of each fingerprint of a large cell, made for that choice."""
+    out = np.zeros((len(fps), len(_FINER)), np.uint64)
+    for c in np.unique(choice).tolist():
+        own = choice == c
+        out[own] = _numbers(_coordinates(fps[own], _OPEN_BITS[c]), _FINER)
+    return (out ^ cell[:, None]) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def _survive(table: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs whose largest coordinate difference is MAX_BITS at most."""
     for first in range(0, table.shape[1], 4):
@@ -153,7 +191,14 @@ def links(distinct: DataFrame) -> DataFrame:
         for batch in batches:
             fps = batch.column(0).to_numpy()
             cells = cell_numbers(fps.view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(np.repeat(fps, cells.shape[1]))], ["cell", "fp"])
+            choice = np.tile(np.arange(len(_CHOICES), dtype=np.int8), len(fps))
+            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(choice), pa.array(np.repeat(fps, cells.shape[1]))], ["cell", "choice", "fp"])
+
+    def deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, choice, fps = (batch.column(k).to_numpy() for k in range(3))
+            finer = finer_numbers(fps.view(np.uint64), cell.view(np.uint64), choice).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(finer.ravel()), pa.array(np.repeat(fps, finer.shape[1]))], ["cell", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,8 +208,15 @@ def links(distinct: DataFrame) -> DataFrame:
             a, b = cell_links(fps, np.diff(ends).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    cells = distinct.select("fp").mapInArrow(deal, "cell long, fp long").groupBy("cell").agg(F.collect_list("fp").alias("fps"))
-    return cells.filter(F.size("fps") > 1).select("fps").mapInArrow(run, "a long, b long").distinct()
+    dealt = distinct.select("fp").mapInArrow(deal, "cell long, choice tinyint, fp long")
+    cells = dealt.groupBy("cell", "choice").agg(F.collect_list("fp").alias("fps"))  # 2 ** 22 at most
+    cells = cut(cells.filter(F.size("fps") > 1), "cells")
+    large = cells.filter(F.size("fps") > LARGE).select("cell", "choice", F.explode("fps").alias("fp"))
+    finer = large.mapInArrow(deal_again, "cell long, fp long").groupBy("cell").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
+    every = cells.filter(F.size("fps") <= LARGE).select("fps").union(finer.select("fps"))
+    out = cut(every.mapInArrow(run, "a long, b long").distinct(), "links")
+    drop_cut(cells)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -175,7 +227,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     fps = cut(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    edges = cut(links(distinct), "links")
+    edges = links(distinct)
     labels = cut(connected_components(edges), "labels")
     known = cut(labels.join(distinct, labels["node"] == distinct["fp"]).select("fp", "root", "first"), "known")
     least = cut(known.groupBy("root").agg(F.min("first").alias("component_id")), "components")
