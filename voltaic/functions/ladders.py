@@ -115,3 +115,8 @@ def anomaly_severity(score: Column) -> Column:
 def quality_distribution_tier(excellent: Column, good: Column, fair: Column) -> Column:
     """Of percentages of readings in each tier."""
     return first_match([(excellent >= 80, "EXCELLENT"), (good >= 70, "GOOD"), (fair >= 50, "FAIR")], "POOR")
+
+
+def fair(column: Column, digits: int) -> Column:
+    """Rounded half up, once what lies under a ten-billionth has been rounded away: binary noise moves no tie."""
+    return F.round(column.cast("decimal(30,10)"), digits).cast("double")

@@ -32,9 +32,10 @@ def sequence(df: DataFrame, keys: list[str], ts: str, order: str, kind: str, wan
     return out.select(*keys, sum(found[1:], found[0]).alias("matched")).withColumn("confidence", F.col("matched") / F.lit(float(len(wanted))))
 
 
-def custom(df: DataFrame, keys: list[str], detector, schema: str) -> DataFrame:
-    """A detector of the caller's own, over one key's events at a time: a function of a pandas frame, giving schema."""
-    return df.groupBy(*keys).applyInPandas(detector, schema)
+def custom(df: DataFrame, keys: list[str], detector, schema: str, ts: str, window: str) -> DataFrame:
+    """A detector of the caller's own, over one key's events of one window of time at a time, which therefore is what one task
+    must hold: a function of a pandas frame that has window_start too, giving schema. Events without a time are left out."""
+    return df.withColumn("window_start", F.window(F.col(ts).cast("timestamp"), window)["start"]).groupBy(*keys, "window_start").applyInPandas(detector, schema)
 
 
 def frequency(df: DataFrame, keys: list[str], ts: str, kind: str, seconds: int, least: int, most: int, minima: dict[str, int]) -> DataFrame:

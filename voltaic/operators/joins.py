@@ -67,37 +67,51 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
     return a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("_v", ignorenulls=True).over(w)).filter("_side = 1").drop("_t", "_v", "_side")
 
 
+#: Halvings of the places' square: cells at the last level are its side over 2 ** LEVELS wide; BY are made at a time.
+LEVELS, BY = 24, 2
+
+
 def nearest(facts: DataFrame, places: DataFrame, lat: str, lon: str, key: str) -> DataFrame:
-    """Each fact location with the key of its nearest place, in degrees; ties go to the smaller key.
+    """Each fact location with the key of its nearest place, in degrees; ties go to the smaller key. Facts without a location are left out.
 
-    Places and spots join by cells. A spot whose best place among its own and the eight cells around is under a cell's width
-    away is done, for no place outside is nearer; the others go on with cells twice as wide.
+    Cells are searched from coarse to fine. A spot keeps the cells whose box of places may hold its nearest one: those not
+    farther at best than another is at worst. Their parts follow, until each cell kept is one location. So crowded places cost
+    a level more, not a comparison each; one round a level, written. What the last level leaves together is compared place by place.
     """
-    others = places.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), F.col(key).alias("_key")).filter("_lat is not null and _lon is not null")
-    spots = steps.cut(facts.select(lat, lon).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).distinct())
-    n, *ends = others.agg(F.count("*"), F.min("_lat"), F.max("_lat"), F.min("_lon"), F.max("_lon")).first()
-    far = spots.agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon)).first()
-    if not n or far[0] is None:
+    point = [F.col(c).cast("double") for c in (lat, lon)]
+    named = places.select(point[0].alias("_lat"), point[1].alias("_lon"), F.col(key).alias("_key")).filter("_lat is not null and _lon is not null")
+    others = steps.cut(named.groupBy("_lat", "_lon").agg(F.min("_key").alias("_key")))
+    low_lat, high_lat, low_lon, high_lon = others.agg(F.min("_lat"), F.max("_lat"), F.min("_lon"), F.max("_lon")).first()
+    if low_lat is None:
         return facts.limit(0).withColumns({f"nearest_{key}": F.lit(None).cast(places.schema[key].dataType), "distance": F.lit(None).cast("double")})
-    reach = lambda k: float(max(ends[k + 1], far[k + 1]) - min(ends[k], far[k]))
-    span = max(reach(0), reach(2), 1e-9)
-    width = max(span / max(1.0, n**0.5), span * 1e-6)
-    distance = F.sqrt(F.pow(F.col(lat) - F.col("_lat"), F.lit(2)) + F.pow(F.col(lon) - F.col("_lon"), F.lit(2)))
-    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("x"), F.lit(dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
+    side = max(high_lat - low_lat, high_lon - low_lon, 1e-9) * (1 + 1e-9)
+    finest = lambda c, low: F.floor((F.col(c) - low) / side * 2**LEVELS).cast("long")
+    others = steps.cut(others.withColumns({"_x": finest("_lat", low_lat), "_y": finest("_lon", low_lon)}))
+    spots = facts.select(lat, lon).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).distinct()
+    open_ = steps.cut(spots.withColumns({"_x": F.lit(0).cast("long"), "_y": F.lit(0).cast("long")}))
+    box = [F.min("_lat").alias("a"), F.max("_lat").alias("b"), F.min("_lon").alias("c"), F.max("_lon").alias("d"), F.min("_key").alias("_key")]
+    gap = lambda low, high, x: F.greatest(F.lit(0.0), F.col(low) - F.col(x), F.col(x) - F.col(high))
+    far = lambda low, high, x: F.greatest(F.col(high) - F.col(x), F.col(x) - F.col(low))
+    square = lambda f: F.pow(f("a", "b", lat), F.lit(2)) + F.pow(f("c", "d", lon), F.lit(2))
     done = None
-    while True:
-        cell = lambda c, w=width: F.floor(F.col(c) / w).cast("long")
-        near = spots.withColumn("_d", around).select(lat, lon, (cell(lat) + F.col("_d.x")).alias("_x"), (cell(lon) + F.col("_d.y")).alias("_y"))
-        held = others.withColumns({"_x": cell("_lat"), "_y": cell("_lon")})
-        best = near.join(held, ["_x", "_y"]).groupBy(lat, lon).agg(F.min(F.struct(distance.alias("d"), F.col("_key").alias("k"))).alias("_b"))
-        last = width > span
-        found = steps.cut(best if last else best.filter(F.col("_b.d") < width))
+    for level in range(BY, LEVELS + 1, BY):
+        shift = LEVELS - level
+        cells = others.groupBy(F.shiftright("_x", shift).alias("_cx"), F.shiftright("_y", shift).alias("_cy")).agg(*box)
+        cells = cells.withColumns({"_x": F.shiftright("_cx", BY), "_y": F.shiftright("_cy", BY)})
+        met = open_.join(cells, ["_x", "_y"]).select(lat, lon, "_cx", "_cy", square(gap).alias("_least"), square(far).alias("_most"), "_key", ((F.col("a") == F.col("b")) & (F.col("c") == F.col("d"))).alias("_one"))
+        met = steps.cut(met)
+        kept = met.join(met.groupBy(lat, lon).agg(F.min("_most").alias("_bound")), [lat, lon]).filter(F.col("_least") <= F.col("_bound"))
+        ended = kept.groupBy(lat, lon).agg(F.every("_one").alias("_ended"), F.min(F.struct("_least", "_key")).alias("_b"))
+        ended = steps.cut(ended)
+        found = ended.filter("_ended").select(lat, lon, "_b")
         done = found if done is None else done.unionByName(found)
-        spots = steps.cut(spots.join(found, [lat, lon], "left_anti"))
-        if last or spots.isEmpty():
+        open_ = steps.cut(kept.join(ended.filter("not _ended").select(lat, lon), [lat, lon]).select(lat, lon, F.col("_cx").alias("_x"), F.col("_cy").alias("_y")))
+        if open_.isEmpty():
             break
-        width *= 2
-    return facts.join(done, [lat, lon]).withColumns({f"nearest_{key}": F.col("_b.k"), "distance": F.col("_b.d")}).drop("_b")
+    else:
+        last = open_.join(others, ["_x", "_y"]).withColumns({"a": F.col("_lat"), "b": F.col("_lat"), "c": F.col("_lon"), "d": F.col("_lon")})
+        done = done.unionByName(last.groupBy(lat, lon).agg(F.min(F.struct(square(gap).alias("_least"), "_key")).alias("_b")))
+    return facts.join(done, [lat, lon]).withColumns({f"nearest_{key}": F.col("_b._key"), "distance": F.sqrt("_b._least")}).drop("_b")
 
 
 def within_distance(df: DataFrame, key: str, lat: str, lon: str, reach: float) -> DataFrame:

@@ -11,13 +11,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells, about; the window over the cells' totals holds one row each.
-CELLS = 128
+#: Cells at least, and for each shuffle partition; the window over the cells' totals holds one row each.
+CELLS, EACH = 128, 4
 
 
-def running(df: DataFrame, x: str, sums: list[str], cells: int = CELLS) -> DataFrame:
+def running(df: DataFrame, x: str, sums: list[str], cells: int | None = None) -> DataFrame:
     """df, in which the values x differ and aren't null, with before_<c>, the sum of c over all rows of lower x, for
-    each of sums, and next_x, the next higher x."""
+    each of sums, and next_x, the next higher x. Without a number of cells they follow the shuffle partitions, as the rows a task sorts should."""
+    cells = cells or max(CELLS, EACH * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = df.agg(F.percentile_approx(x, F.array(*[F.lit(i / cells) for i in range(1, cells)]), F.lit(10 * cells)).alias("_bounds"))
     celled = df.crossJoin(F.broadcast(bounds)).withColumn("_cell", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(x))), F.lit(0))).drop("_bounds")  # bounds is one row
     totals = celled.groupBy("_cell").agg(*[F.sum(c).alias(f"_all_{c}") for c in sums], F.min(x).alias("_least"))

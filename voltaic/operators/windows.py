@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from voltaic.operators import ranks
-from pyspark.sql.window import WindowSpec
 
 
 def ordered(keys: list[str], order: list[str]) -> WindowSpec:
@@ -56,14 +58,44 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_row = 1").drop("_row")
 
 
-def ewm(df: DataFrame, column: str, keys: list[str], order: list[str], alpha: float, rows: int | None = None) -> DataFrame:
-    """Adjusted exponentially weighted mean; rows: of so many last rows, as far back as weights count in a double if not given."""
-    rows = rows or ranks.decay_rows(alpha)
-    frame = ordered(keys, order).rowsBetween(-(rows - 1), 0)
-    values = F.collect_list(column).over(frame)
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    fold = F.aggregate(values, start, lambda a, x: F.struct((a["s"] * (1 - alpha) + x).alias("s"), (a["w"] * (1 - alpha) + 1).alias("w")), lambda a: F.try_divide(a["s"], a["w"]))
-    return df.withColumn(f"{column}_ewm", fold)
+def ewm(df: DataFrame, column: str, keys: list[str], order: list[str], alpha: float) -> DataFrame:
+    """Adjusted exponentially weighted mean of a key's values so far; nulls don't count, and take the mean before them.
+
+    Values fall into blocks in which weights fall to a ten-thousandth. Within a block sums run with weights that grow
+    from its beginning; of the blocks before, as many carry on as count in a double. No row gathers others.
+    """
+    w = ordered(keys, order)
+    keep = 1 - alpha
+    block = max(1, math.floor(math.log(1e-4) / math.log(keep))) if 0 < keep < 1 else 1
+    blocks = math.ceil(ranks.decay_rows(alpha) / block) + 1 if 0 < keep < 1 else 1
+    n = F.count(column).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1  # place among the values
+    df = df.withColumns({"_block": F.floor(n / block), "_in": (n % block).cast("double")})
+    grown = F.when(F.col(column).isNotNull(), F.pow(F.lit(1 / keep if keep else 1.0), F.col("_in")))
+    inner = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({"_s": F.sum(F.col(column) * grown).over(inner), "_w": F.sum(grown).over(inner)})
+    ends = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b")).agg(
+        F.max_by(F.struct("_s", "_w"), F.struct(*order)).alias("_end"), F.count(column).alias("_n"))
+    over = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_b")
+    # a block's sums, weighted as from the beginning of the next one; blocks before the last are full
+    full = keep**block
+    part = lambda c: sum((F.coalesce(F.lag(F.col("_end")[c] * full, k).over(over), F.lit(0.0)) * full ** (k - 1) for k in range(1, blocks + 1)), F.lit(0.0))
+    ends = ends.withColumns({"_before_s": part("_s"), "_before_w": part("_w")}).drop("_end", "_n")
+    same = F.col("_block") == F.col("_b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = df.join(ends, same)
+    mean = F.try_divide(F.col("_before_s") + F.coalesce("_s", F.lit(0.0)), F.col("_before_w") + F.coalesce("_w", F.lit(0.0)))
+    return out.withColumn(f"{column}_ewm", mean).drop("_block", "_in", "_s", "_w", "_b", "_before_s", "_before_w", *[f"_k{i}" for i in range(len(keys))])
+
+
+def distinct_sketches(df: DataFrame, keys: list[str], ts: str, value: str, bits: int = 12) -> DataFrame:
+    """(keys, day, sketch): a sketch of each day's different values, to be kept and united later; nulls don't count."""
+    return df.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.hll_sketch_agg(value, bits).alias("sketch"))
+
+
+def distinct_estimates(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, estimate) of the different values of all days: exact up to some hundreds, then with a standard error of about 1.04 / sqrt(2 ** bits)."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
 
 
 def sliding_trend(df: DataFrame, column: str, keys: list[str], order: list[str], rows: int = 100) -> DataFrame:

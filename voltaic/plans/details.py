@@ -227,12 +227,12 @@ def feature_history(spark, sf_dir):
 
 
 @query("entity_performance", "WITH " + READINGS_SQL + """
-SELECT meter_id, count(*) AS n, count(*) FILTER (is_anomaly) AS anomalies, round(avg(quality_score), 6) AS quality, round(avg(consumption_kwh) + 1e-8, 6) AS kwh, count(DISTINCT CAST(reading_timestamp AS DATE)) AS days, count(*) FILTER (reading_timestamp > TIMESTAMP '2024-01-25') AS ahead, min(reading_timestamp) AS first_ts, max(reading_timestamp) AS last_ts FROM readings GROUP BY 1""")
+SELECT meter_id, count(*) AS n, count(*) FILTER (is_anomaly) AS anomalies, round(avg(quality_score), 6) AS quality, CAST(round(CAST(avg(consumption_kwh) AS DECIMAL(30, 10)), 6) AS DOUBLE) AS kwh, count(DISTINCT CAST(reading_timestamp AS DATE)) AS days, count(*) FILTER (reading_timestamp > TIMESTAMP '2024-01-25') AS ahead, min(reading_timestamp) AS first_ts, max(reading_timestamp) AS last_ts FROM readings GROUP BY 1""")
 def entity_performance(spark, sf_dir):
     """One pass of counts and means a meter, with how many readings lie after a stated time."""
     ahead = F.col("reading_timestamp") > F.lit("2024-01-25").cast("timestamp_ntz")
     return readings(spark, sf_dir).groupBy("meter_id").agg(
-        F.count("*").alias("n"), F.count_if("is_anomaly").alias("anomalies"), r(F.avg("quality_score"), "quality"), r(F.avg("consumption_kwh") + 1e-8, "kwh"), F.count_distinct(F.to_date("reading_timestamp")).alias("days"),
+        F.count("*").alias("n"), F.count_if("is_anomaly").alias("anomalies"), r(F.avg("quality_score"), "quality"), ladders.fair(F.avg("consumption_kwh"), 6).alias("kwh"), F.count_distinct(F.to_date("reading_timestamp")).alias("days"),
         F.count_if(ahead).alias("ahead"), F.min("reading_timestamp").alias("first_ts"), F.max("reading_timestamp").alias("last_ts"),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from voltaic.functions import ladders
 from voltaic.operators import drift, learning, sourcing, windows
 from voltaic.plans.readings import READINGS_SQL, readings
 from voltaic.plans.registry import query
@@ -100,11 +101,11 @@ def demand_prediction(spark, sf_dir):
 
 @query("load_ensemble", """
 WITH w AS (SELECT event_id, lag(value) OVER o AS last, avg(value) OVER (o ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS mean FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id, round(CASE WHEN mean IS NOT NULL THEN (last * 0.4 + mean * 0.6) / 1.0 END + 1e-8, 5) AS predicted FROM w""")
+SELECT event_id, CAST(round(CAST(CASE WHEN mean IS NOT NULL THEN (last * 0.4 + mean * 0.6) / 1.0 END AS DECIMAL(30, 10)), 5) AS DOUBLE) AS predicted FROM w""")
 def load_ensemble(spark, sf_dir):
     keys, order = ["user_id"], ["ts", "event_id"]
     df = windows.lags(windows.trailing(t(spark, sf_dir, "events"), "value", keys, order, 5), "value", keys, order, steps=(1,))
-    return df.select("event_id", F.round(learning.ensemble({"value_lag_1": 0.4, "value_avg_5": 0.6}) + 1e-8, 5).alias("predicted"))
+    return df.select("event_id", ladders.fair(learning.ensemble({"value_lag_1": 0.4, "value_avg_5": 0.6}), 5).alias("predicted"))
 
 
 @query("failure_risk")

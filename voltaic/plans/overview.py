@@ -105,7 +105,7 @@ p AS (SELECT *, CAST(CAST(reading_timestamp AS DATE) AS VARCHAR) AS day, hour(re
 a AS (SELECT day, count(DISTINCT meter_id) AS meters, count(*) AS n, sum(consumption_kwh) AS kwh, stddev(consumption_kwh) AS dev, count(*) FILTER (is_anomaly) AS anomalies,
   coalesce(sum(consumption_kwh) FILTER (h BETWEEN 6 AND 11), 0) AS morning, coalesce(sum(consumption_kwh) FILTER (h BETWEEN 12 AND 17), 0) AS afternoon, coalesce(sum(consumption_kwh) FILTER (h BETWEEN 18 AND 23), 0) AS evening, coalesce(sum(consumption_kwh) FILTER (h < 6), 0) AS night, bool_or(weekend) AS weekend FROM p GROUP BY 1)
 SELECT day, meters, n AS readings, round(kwh, 4) AS kwh, round(dev, 4) AS deviation, weekend AS is_weekend, round(morning, 4) AS morning, round(afternoon, 4) AS afternoon, round(evening, 4) AS evening, round(night, 4) AS night,
-  round(anomalies / n, 6) AS anomaly_rate, round(kwh / meters + 1e-8, 4) AS kwh_per_meter, round(CASE WHEN morning > 0 THEN evening / morning END, 4) AS evening_morning,
+  round(anomalies / n, 6) AS anomaly_rate, CAST(round(CAST(kwh / meters AS DECIMAL(30, 10)), 4) AS DOUBLE) AS kwh_per_meter, round(CASE WHEN morning > 0 THEN evening / morning END, 4) AS evening_morning,
   CASE WHEN anomalies / n < 0.05 THEN 'HIGH' WHEN anomalies / n < 0.15 THEN 'MEDIUM' ELSE 'LOW' END AS quality_class FROM a""")
 def daily_overview(spark, sf_dir):
     """The older daily model: one pass with conditional sums, where that model joined four aggregates of one fact."""
@@ -118,7 +118,7 @@ def daily_overview(spark, sf_dir):
     r4 = lambda x, n: F.round(x, 4).alias(n)
     return a.select(
         "day", "meters", "readings", r4("kwh", "kwh"), r4("dev", "deviation"), "is_weekend", *[r4(x, x) for x in ("morning", "afternoon", "evening", "night")],
-        r("rate", "anomaly_rate"), r4(c("kwh") / c("meters") + 1e-8, "kwh_per_meter"), r4(ladders.ratio(c("evening"), c("morning")), "evening_morning"), ladders.below(c("rate"), [(0.05, "HIGH"), (0.15, "MEDIUM")], "LOW").alias("quality_class"),
+        r("rate", "anomaly_rate"), ladders.fair(c("kwh") / c("meters"), 4).alias("kwh_per_meter"), r4(ladders.ratio(c("evening"), c("morning")), "evening_morning"), ladders.below(c("rate"), [(0.05, "HIGH"), (0.15, "MEDIUM")], "LOW").alias("quality_class"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voltaic.functions import ladders
 from voltaic.operators import forecast, joins, windows
 from voltaic.plans.readings import READINGS_SQL, readings
 from voltaic.plans.registry import query
@@ -42,12 +43,12 @@ def next_values(spark, sf_dir):
 
 @query("window_forecasts", """
 WITH w AS (SELECT event_id, value, avg(value) OVER d AS m, avg(value) OVER k AS wk FROM events WINDOW d AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), k AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING))
-SELECT event_id, round(m * 0.98 + value * 0.02 + 1e-8, 5) AS blended, round(m * 1.02 + 1e-8, 5) AS grown, round(wk * 1.01 + 1e-8, 5) AS weekly FROM w""")
+SELECT event_id, CAST(round(CAST(m * 0.98 + value * 0.02 AS DECIMAL(30, 10)), 5) AS DOUBLE) AS blended, CAST(round(CAST(m * 1.02 AS DECIMAL(30, 10)), 5) AS DOUBLE) AS grown, CAST(round(CAST(wk * 1.01 AS DECIMAL(30, 10)), 5) AS DOUBLE) AS weekly FROM w""")
 def window_forecasts(spark, sf_dir):
-    """Values are cents, so a hundred-millionth keeps their means off the ties of rounding."""
+    """Values are cents, so their means often lie on ties of rounding, which are rounded fairly."""
     keys, order = ["user_id"], ["ts", "event_id"]
     df = windows.trailing(windows.trailing(t(spark, sf_dir, "events"), "value", keys, order, 24), "value", keys, order, 168)
-    mean, week, r5 = F.col("value_avg_24"), F.col("value_avg_168"), lambda c, n: F.round(c + 1e-8, 5).alias(n)
+    mean, week, r5 = F.col("value_avg_24"), F.col("value_avg_168"), lambda c, n: ladders.fair(c, 5).alias(n)
     return df.select("event_id", r5(forecast.blended(F.col("value"), mean), "blended"), r5(forecast.blended(F.col("value"), mean, None), "grown"), r5(forecast.blended(F.col("value"), week, None, 1.01), "weekly"))
 
 
@@ -61,11 +62,11 @@ def calendar_features(spark, sf_dir):
 
 
 @query("equipment_features", "WITH " + READINGS_SQL + """
-SELECT event_id, round(sum(current_a) OVER f, 6) AS load_sum, round(avg(current_a) OVER f, 6) AS load_mean, max(current_a) OVER f AS load_max, round(var_samp(current_a) OVER f + 1e-8, 5) AS load_var, abs(voltage_v - 230) AS voltage_off, count(CASE WHEN abs(voltage_v - 230) > 10 THEN 1 END) OVER f AS voltage_faults,
+SELECT event_id, round(sum(current_a) OVER f, 6) AS load_sum, round(avg(current_a) OVER f, 6) AS load_mean, max(current_a) OVER f AS load_max, CAST(round(CAST(var_samp(current_a) OVER f AS DECIMAL(30, 10)), 5) AS DOUBLE) AS load_var, abs(voltage_v - 230) AS voltage_off, count(CASE WHEN abs(voltage_v - 230) > 10 THEN 1 END) OVER f AS voltage_faults,
   current_a > quantile_cont(current_a, 0.9) OVER f AS is_peak FROM readings WINDOW f AS (PARTITION BY user_id ORDER BY reading_timestamp, event_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""")
 def equipment_features(spark, sf_dir):
     df = forecast.equipment_features(readings(spark, sf_dir), ["user_id"], ["reading_timestamp", "event_id"], "current_a", "voltage_v")
-    return df.select("event_id", r("load_sum_24", "load_sum"), r("load_mean_24", "load_mean"), F.col("load_max_24").alias("load_max"), F.round(F.col("load_var_24") + 1e-8, 5).alias("load_var"), "voltage_off", F.col("voltage_faults_24").alias("voltage_faults"), "is_peak")
+    return df.select("event_id", r("load_sum_24", "load_sum"), r("load_mean_24", "load_mean"), F.col("load_max_24").alias("load_max"), ladders.fair(F.col("load_var_24"), 5).alias("load_var"), "voltage_off", F.col("voltage_faults_24").alias("voltage_faults"), "is_peak")
 
 
 @query("rolling_correlation", "WITH " + READINGS_SQL + """
