@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voltaic.operators import detectors, graphs
+from voltaic.operators import detectors, graphs, privacy
 from voltaic.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -139,3 +139,11 @@ def test_longest_paths(spark):
     got = {r.node: r.depth for r in graphs.depths(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert got == {"a": 0, "x": 0, "b": 1, "c": 2, "d": 3, "p": None, "q": None, "r": None, "s": None}
     assert graphs.depths(spark.createDataFrame([], "a string, b string")).agg(F.count("*")).first()[0] == 0
+
+
+def test_lineage_goes_to_its_end(spark):
+    """Deeper than ten steps, through a cycle."""
+    edges = spark.createDataFrame([(str(k), str(k + 1)) for k in range(14)] + [("14", "0")], "source string, target string")
+    got = privacy.impact(edges, spark.createDataFrame([("0",), ("9",), ("x",)], "node string")).collect()
+    assert {r.start: (r.downstream, r.depth) for r in got} == {"0": (14, 14), "9": (14, 14), "x": (0, 0)}
+    assert privacy.impact(edges, spark.createDataFrame([("0",)], "node string"), depth=3).first().downstream == 3

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltaic.operators import ranks
+from voltaic.operators import ranks, steps
 
 
 def population_stability(reference: DataFrame, current: DataFrame, column: str, bins: int = 5) -> DataFrame:
@@ -41,7 +41,7 @@ def kolmogorov_smirnov(reference: DataFrame, current: DataFrame, column: str) ->
 def _gaps(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """(x, next_x, gap): how far the two distribution functions lie apart from each value to the next."""
     sides = reference.select(F.col(column).alias("x"), F.lit(1).alias("ref")).unionAll(current.select(F.col(column).alias("x"), F.lit(0).alias("ref")))
-    counts = sides.filter("x is not null").groupBy("x").agg(F.sum("ref").alias("r"), F.sum(1 - F.col("ref")).alias("c"))
+    counts = steps.cut(sides.filter("x is not null").groupBy("x").agg(F.sum("ref").alias("r"), F.sum(1 - F.col("ref")).alias("c")))
     sizes = counts.agg(F.sum("r").alias("all_r"), F.sum("c").alias("all_c"))
     upto = lambda side: F.try_divide(F.col(f"before_{side}") + F.col(side), F.col(f"all_{side}"))
     rows = ranks.running(counts, "x", ["r", "c"]).crossJoin(F.broadcast(sizes))  # sizes is one row

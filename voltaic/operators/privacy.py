@@ -65,15 +65,16 @@ def pseudonym(value: Column, salt: str) -> Column:
     return F.substring(F.sha2(F.concat(value, F.lit(salt)), 256), 1, 16)
 
 
-def lineage(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(start, node, depth) of every node reachable from starts (node) by edges (source, target) in at most depth steps.
+def lineage(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(start, node, depth) of every node reachable from starts (node) by edges (source, target), in at most depth steps if given.
 
     One join a step, written, so plans don't grow; a node counts once for each start, at its least depth, so cycles
     end, and steps end when nothing new is reached.
     """
     front = steps.cut(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")))
-    seen = front
-    for step in range(1, depth + 1):
+    seen, step = front, 0
+    while depth is None or step < depth:
+        step += 1
         front = front.join(edges, front["node"] == edges["source"]).select("start", F.col("target").alias("node"), F.lit(step).alias("depth")).distinct()
         front = steps.cut(front.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         if front.isEmpty():
@@ -82,7 +83,7 @@ def lineage(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def impact(edges: DataFrame, starts: DataFrame, depth: int = 10) -> DataFrame:
+def impact(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """(start, downstream, depth, impact): how many nodes follow each start, how far, and whether that is over 10 or 5."""
     reached = lineage(edges, starts, depth).groupBy("start").agg((F.count("*") - 1).alias("downstream"), F.max("depth").alias("depth"))
     return reached.withColumn("impact", F.when(F.col("downstream") > 10, "high").when(F.col("downstream") > 5, "medium").otherwise("low"))

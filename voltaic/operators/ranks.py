@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltaic.operators import steps
+
 #: Cells at least, and for each shuffle partition; the window over the cells' totals holds one row each.
 CELLS, EACH = 128, 4
 
@@ -34,8 +36,8 @@ def running(df: DataFrame, x: str, sums: list[str], cells: int | None = None) ->
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
     """One row, q: the exact quantiles of the column, interpolated between neighbours; nulls don't count."""
     values = df.select(F.col(column).alias("x")).filter("x is not null")
-    counts = running(values.groupBy("x").agg(F.count("*").alias("n")), "x", ["n"])
-    counts = counts.crossJoin(F.broadcast(values.agg(F.count("*").alias("_n"))))  # one row
+    counted = steps.cut(values.groupBy("x").agg(F.count("*").alias("n")))  # bounds, cells and sums read it, not the input
+    counts = running(counted, "x", ["n"]).crossJoin(F.broadcast(counted.agg(F.sum("n").alias("_n"))))  # one row
     held = lambda place: F.max(F.when((F.col("before_n") <= place) & (place < F.col("before_n") + F.col("n")), F.col("x")))
     parts: list[Column] = []
     for i, share in enumerate(shares):

@@ -48,7 +48,8 @@ def with_status(events: DataFrame, updates: DataFrame, key: str, status: str = "
 
 def rewrite(spark: SparkSession, path: str, by: str, change: Callable[[DataFrame], DataFrame], touched: list) -> None:
     """Apply change (an update of states, a deletion) to the partitions of a table at path whose column by is in touched;
-    the others aren't read or written. What is written is cut from what is read."""
+    the others aren't read or written. What is written is cut from what is read. A crash on the way leaves each partition as it was or as it
+    should be, and rows of emptied ones alive: run it again, which for changes of states and deletions gives the same."""
     part = spark.read.parquet(path).filter(F.col(by).isin(touched))
     done = steps.cut(change(part))
     empty = set(touched) - {r[0] for r in done.select(by).distinct().collect()}
