@@ -191,7 +191,8 @@ def _linked_cells(core: DataFrame, eps: float, d: int) -> DataFrame:
         level += 1
         # which half of its sub-cell a point lies in, by dimension
         bits = sum((F.pmod(F.floor(F.col("v")[i] / (width / 2**level)), F.lit(2)).cast("long") * 2**i for i in range(d)), F.lit(0).cast("long"))
-        wanted = open_.select(F.explode(F.array(F.struct(F.col("cell_a").alias("cell"), F.col("sub_a").alias("sub")), F.struct(F.col("cell_b").alias("cell"), F.col("sub_b").alias("sub")))).alias("x")).select("x.*").distinct()
+        of = lambda s: F.struct(F.col(f"cell_{s}").alias("cell"), F.col(f"sub_{s}").alias("sub"))
+        wanted = open_.select(F.explode(F.array(of("a"), of("b"))).alias("x")).select("x.*").distinct()
         points = steps.cut(points.join(wanted, ["cell", "sub"]).select("cell", "v", F.col("sub").alias("above"), (F.col("sub") * 2**d + bits).alias("sub")))
         table = steps.cut(points.groupBy("cell", "above", "sub").agg(corner(F.min, "low"), corner(F.max, "high"), F.count("*").alias("n")))
         up = lambda s: side(table, s).withColumnRenamed(f"above_{s}", f"up_{s}")  # noqa: E731, B023

@@ -152,7 +152,8 @@ def arima(df: DataFrame, keys: list[str], index: str, value: str, p: int = 2, d:
     rows = lagged(shocks, keys, index, ["z", "e"], back)
     terms = [F.lit(1.0), *[F.col(f"z_{k}") for k in range(1, p + 1)], *[F.col(f"e_{k}") for k in range(1, q + 1)]]
     coef = steps.cut(regress(rows, keys, terms, F.col("z_0")))
-    told = coef.select(*keys, F.col("coef")[0].alias("const"), F.slice("coef", 2, p).alias("ar") if p else F.array().cast("array<double>").alias("ar"), F.slice("coef", 2 + p, q).alias("ma") if q else F.array().cast("array<double>").alias("ma"), "n")
+    some = lambda first, n, name: (F.slice("coef", first, n) if n else F.array().cast("array<double>")).alias(name)
+    told = coef.select(*keys, F.col("coef")[0].alias("const"), some(2, p, "ar"), some(2 + p, q, "ma"), "n")
 
     def tail(frame: DataFrame, c: str, n: int, name: str) -> DataFrame:
         """The last n values of each key, the newest first; as many rows a key are gathered."""
@@ -201,4 +202,5 @@ def errors(df: DataFrame, keys: list[str], actual: str, predicted: str) -> DataF
     both = df.filter(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
     gap = F.col(actual) - F.col(predicted)
     square = F.avg(gap * gap)
-    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.abs(gap)).alias("mae"), square.alias("mse"), F.sqrt(square).alias("rmse"), (1 - F.try_divide(square, F.var_pop(actual))).alias("r2"))
+    fit = (1 - F.try_divide(square, F.var_pop(actual))).alias("r2")
+    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.abs(gap)).alias("mae"), square.alias("mse"), F.sqrt(square).alias("rmse"), fit)
