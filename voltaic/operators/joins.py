@@ -114,12 +114,37 @@ def nearest(facts: DataFrame, places: DataFrame, lat: str, lon: str, key: str) -
     return facts.join(done, [lat, lon]).withColumns({f"nearest_{key}": F.col("_b._key"), "distance": F.sqrt("_b._least")}).drop("_b")
 
 
+def close_counts(df: DataFrame, key: str, lat: str, lon: str, reach: float) -> DataFrame:
+    """(key, close): how many rows of other keys are under reach degrees from each row with a key; rows without any are left out. Keys may repeat.
+
+    Equal places are compared once, with the number of their rows, so rows that share a place cost no pairs.
+    """
+    rows = df.select(key, lat, lon).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(key).isNotNull())
+    own = rows.groupBy(key, lat, lon).agg(F.count("*").alias("_n"))
+    spots = steps.cut(own.groupBy(lat, lon).agg(F.sum("_n").alias("_n")).withColumn("_spot", F.monotonically_increasing_id()))
+    met = within_distance(spots, "_spot", lat, lon, reach)
+    other = spots.select(F.col("_spot").alias("other"), F.col("_n").alias("_m"))
+    around = met.join(other, "other").groupBy("_spot").agg(F.sum("_m").alias("_around"))
+    spots = steps.cut(spots.join(around, "_spot", "left").select("_spot", lat, lon, (F.col("_n") + F.coalesce("_around", F.lit(0))).alias("_all")))
+    placed = own.join(spots, [lat, lon])
+    several = own.groupBy(key).agg(F.count("*").alias("_k")).filter("_k > 1").select(key)
+    # a key of one place is left out of its own count there; one of several places, at each of them that is near
+    alone = placed.join(several, key, "left_anti").select(key, (F.col("_n") * (F.col("_all") - F.col("_n"))).alias("close"))
+    many = placed.join(several, key).select(key, lat, lon, "_n", "_all")
+    mine = many.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), F.col("_n").alias("_m"))
+    near = F.sqrt(F.pow(F.col(lat) - F.col("_lat"), F.lit(2)) + F.pow(F.col(lon) - F.col("_lon"), F.lit(2))) < reach
+    apart = many.join(mine, key).groupBy(key, lat, lon).agg(F.first("_n").alias("_n"), F.first("_all").alias("_all"), F.sum(F.when(near, F.col("_m")).otherwise(0)).alias("_own"))
+    summed = apart.groupBy(key).agg(F.sum(F.col("_n") * (F.col("_all") - F.col("_own"))).alias("close"))
+    return alone.unionByName(summed).filter("close > 0")
+
+
 def within_distance(df: DataFrame, key: str, lat: str, lon: str, reach: float) -> DataFrame:
-    """(key, other) of different rows under reach degrees apart, both ways. Cells of that width join by equality."""
+    """(key, other) of different rows under reach degrees apart, both ways. Cells of that width join by equality; each row is
+    entered in nine, so the join is told not to send them through the driver."""
     cell = lambda c: F.floor(F.col(c) / reach).cast("long")
     places = df.select(key, lat, lon).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumns({"_x": cell(lat), "_y": cell(lon)})
     steps = F.array(*[F.struct(F.lit(dx).alias("x"), F.lit(dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     others = places.select(F.col(key).alias("other"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), "_x", "_y", F.explode(steps).alias("_d"))
     others = others.select("other", "_lat", "_lon", (F.col("_x") + F.col("_d.x")).alias("_x"), (F.col("_y") + F.col("_d.y")).alias("_y"))
     distance = F.sqrt(F.pow(F.col(lat) - F.col("_lat"), F.lit(2)) + F.pow(F.col(lon) - F.col("_lon"), F.lit(2)))
-    return places.join(others, ["_x", "_y"]).filter((F.col(key) != F.col("other")) & (distance < reach)).select(key, "other")
+    return places.hint("merge").join(others.hint("merge"), ["_x", "_y"]).filter((F.col(key) != F.col("other")) & (distance < reach)).select(key, "other")

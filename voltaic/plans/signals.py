@@ -94,9 +94,9 @@ def causal_correlation(spark, sf_dir):
 WITH p AS (SELECT p_partkey, p_retailprice / 1000 AS lat, p_size / 100 AS lon FROM part)
 SELECT a.p_partkey, count(*) AS close FROM p a JOIN p b ON a.p_partkey <> b.p_partkey AND sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2) < 0.01 GROUP BY 1""")
 def spatial_correlation(spark, sf_dir):
-    """Places under a hundredth of a degree apart: each is entered in its cell and the eight around it."""
+    """Places under a hundredth of a degree apart: each different one is entered in its cell and the eight around it."""
     p = t(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / 1000).alias("lat"), (F.col("p_size") / 100).alias("lon"))
-    return joins.within_distance(p, "p_partkey", "lat", "lon", 0.01).groupBy("p_partkey").agg(F.count("*").alias("close"))
+    return joins.close_counts(p, "p_partkey", "lat", "lon", 0.01)
 
 
 @query("correlation_pattern", """
