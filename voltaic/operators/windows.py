@@ -98,6 +98,16 @@ def distinct_estimates(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
 
 
+def distinct_values(df: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
+    """(keys, day, value): each day's different values, to be kept and united later; nulls don't count."""
+    return df.filter(F.col(value).isNotNull()).select(*keys, F.to_date(ts).alias("day"), value).distinct()
+
+
+def distinct_counts(kept: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, estimate): the different values of all days, counted exactly. Values are dealt by themselves, so a key is no one task's."""
+    return kept.select(*keys, value).distinct().groupBy(*keys).agg(F.count("*").alias("estimate"))
+
+
 def sliding_trend(df: DataFrame, column: str, keys: list[str], order: list[str], rows: int = 100) -> DataFrame:
     """Slope and fit of a straight line through every full window of rows."""
     w = ordered(keys, order)
