@@ -36,7 +36,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents linked by a Jaccard similarity of 0.8 or more (5 words) one stays, whole: that with the smallest
+    """Near copies by SimHash fingerprints, pivot distances and components, and an exact search for links beyond their radius.
+
+    Of the documents linked by a Jaccard similarity of 0.8 or more (5 words) one stays, whole: that with the smallest
     id, one without an id only if none has one; of several rows with that id, one by their texts' keys. Different
     texts that share an id and aren't linked all stay."""
     own, names = _own(docs)

@@ -11,6 +11,8 @@ with those not yet reached.
 A cell leaves at most 22 bits open, so it holds 2 ** 22 different fingerprints at most, whatever the size of the corpus.
 One of more than LARGE is dealt once more: its open bits fall into parts with pivots of their own, which leaves cells of
 8 open bits, 256 fingerprints at most, one task's work each.
+
+near_links does the same for a wider radius, which the pipeline's near copies need: there fewer parts must agree.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from voltaic.llm.components import connected_components
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
 #: Widths of the parts, 64 bits together. A cell of more fingerprints than LARGE is dealt once more, by so many parts of its open bits.
 PARTS, LARGE, FINER = (11, 11, 11, 11, 10, 10), 4096, 6
+#: The wider radius, and on how many parts fingerprints agree that meet for it.
+RADIUS, AGREE = 8, 2
 #: Pivots of all bits. Pairs of cells up to SMALL are compared many cells at once.
 PIVOTS, SMALL = 24, 64
 _RNG = np.random.default_rng(64)
@@ -37,7 +41,8 @@ _REFERENCES = _RNG.integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
 #: The parts on which two linked fingerprints agree, for each choice; factors make one number of their coordinates.
 _CHOICES = list(combinations(range(len(PARTS)), len(PARTS) - MAX_BITS))
 _FINER = list(combinations(range(FINER), FINER - MAX_BITS))
-_FACTORS = _RNG.integers(0, 1 << 63, (max(len(_CHOICES), len(_FINER)), max(len(PARTS), FINER)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WIDER = list(combinations(range(len(PARTS)), AGREE))
+_FACTORS = _RNG.integers(0, 1 << 63, (max(len(_CHOICES), len(_FINER), len(_WIDER)), max(len(PARTS), FINER)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_RNG.integers(0, 1 << 64, dtype=np.uint64))
 
 
@@ -119,6 +124,11 @@ def cell_numbers(fps: np.ndarray) -> np.ndarray:
     return _numbers(_coordinates(fps, _PART_BITS), _CHOICES)
 
 
+def wider_numbers(fps: np.ndarray) -> np.ndarray:
+    """The cells of each fingerprint for the wider radius, one for each choice of AGREE parts."""
+    return _numbers(_coordinates(fps, _PART_BITS), _WIDER)
+
+
 def finer_numbers(fps: np.ndarray, cell: np.ndarray, choice: np.ndarray) -> np.ndarray:
     """The finer cells of each fingerprint of a large cell, made for that choice."""
     out = np.zeros((len(fps), len(_FINER)), np.uint64)
@@ -128,27 +138,27 @@ def finer_numbers(fps: np.ndarray, cell: np.ndarray, choice: np.ndarray) -> np.n
     return (out ^ cell[:, None]) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _survive(table: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs whose largest coordinate difference is MAX_BITS at most."""
+def _survive(table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose largest coordinate difference is radius at most."""
     for first in range(0, table.shape[1], 4):
-        near = (np.abs(table[i, first : first + 4] - table[j, first : first + 4]) <= MAX_BITS).all(1)
+        near = (np.abs(table[i, first : first + 4] - table[j, first : first + 4]) <= radius).all(1)
         i, j = i[near], j[near]
     return i, j
 
 
-def _verified(fps: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    i, j = _survive(table, i, j)
-    near = np.bitwise_count(fps[i] ^ fps[j]) <= MAX_BITS
+def _verified(fps: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray, radius: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    i, j = _survive(table, i, j, radius)
+    near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
     return i[near], j[near]
 
 
-def _reached(fps: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _reached(fps: np.ndarray, table: np.ndarray, radius: int = MAX_BITS) -> Iterator[tuple[int, np.ndarray]]:
     """(a fingerprint's place, the places reached from it first) of one cell, in the order of the search."""
     order = np.argsort(table[:, 0], kind="stable")
     fps, table = fps[order], table[order]
-    # partners stand within MAX_BITS of each other's first distance
-    begins = np.searchsorted(table[:, 0], table[:, 0] - MAX_BITS)
-    ends = np.searchsorted(table[:, 0], table[:, 0] + MAX_BITS, side="right")
+    # partners stand within radius of each other's first distance
+    begins = np.searchsorted(table[:, 0], table[:, 0] - radius)
+    ends = np.searchsorted(table[:, 0], table[:, 0] + radius, side="right")
     waiting = np.ones(len(fps), bool)
     for start in range(len(fps)):
         front = [start] if waiting[start] else []
@@ -156,16 +166,16 @@ def _reached(fps: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, np.ndarr
         while front:
             at = front.pop()
             near = begins[at] + np.flatnonzero(waiting[begins[at] : ends[at]])
-            _, found = _verified(fps, np.full(len(near), at), near, table)
+            _, found = _verified(fps, np.full(len(near), at), near, table, radius)
             if len(found):
                 waiting[found] = False
                 front.extend(found.tolist())
                 yield int(order[at]), order[found]
 
 
-def cell_links(fps: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cell_links(fps: np.ndarray, sizes: np.ndarray, radius: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """fps: the fingerprints of cells of these sizes, cell after cell. Links (a, b) of fingerprints, enough to connect
-    whatever is within MAX_BITS in a cell."""
+    whatever is within radius in a cell."""
     base = np.cumsum(sizes) - sizes
     pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for size in np.unique(sizes[sizes <= SMALL]).tolist():
@@ -175,15 +185,29 @@ def cell_links(fps: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
         for k in range(0, len(at), step):
             inner = (at[k : k + step, None] + np.arange(size)).ravel()
             first = size * np.arange(len(inner) // size)[:, None]
-            i, j = _verified(fps[inner], (first + a).ravel(), (first + b).ravel(), pivot_table(fps[inner]))
+            i, j = _verified(fps[inner], (first + a).ravel(), (first + b).ravel(), pivot_table(fps[inner]), radius)
             pairs.append((inner[i], inner[j]))
     for at, size in zip(base[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
         own = fps[at : at + size]
-        pairs += [(np.full(len(found), at + i), at + found) for i, found in _reached(own, pivot_table(own))]
+        pairs += [(np.full(len(found), at + i), at + found) for i, found in _reached(own, pivot_table(own), radius)]
     i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
     return fps[i], fps[j]
 
 
+def _compared(cells: DataFrame, radius: int) -> DataFrame:
+    """cells (fps): the links (a, b) of each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            ends = lists.offsets.to_numpy()
+            fps = lists.values.to_numpy().view(np.uint64)[ends[0] : ends[-1]]
+            a, b = cell_links(fps, np.diff(ends).astype(np.int64), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long").distinct()
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """distinct (fp): links (a, b) that connect every two fingerprints within MAX_BITS of each other."""
 
@@ -200,25 +224,37 @@ def links(distinct: DataFrame) -> DataFrame:
             finer = finer_numbers(fps.view(np.uint64), cell.view(np.uint64), choice).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(finer.ravel()), pa.array(np.repeat(fps, finer.shape[1]))], ["cell", "fp"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(0)
-            ends = lists.offsets.to_numpy()
-            fps = lists.values.to_numpy().view(np.uint64)[ends[0] : ends[-1]]
-            a, b = cell_links(fps, np.diff(ends).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
     dealt = distinct.select("fp").mapInArrow(deal, "cell long, choice tinyint, fp long")
     cells = dealt.groupBy("cell", "choice").agg(F.collect_list("fp").alias("fps"))  # 2 ** 22 at most
     cells = cut(cells.filter(F.size("fps") > 1), "cells")
     large = cells.filter(F.size("fps") > LARGE).select("cell", "choice", F.explode("fps").alias("fp"))
     finer = large.mapInArrow(deal_again, "cell long, fp long").groupBy("cell").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     every = cells.filter(F.size("fps") <= LARGE).select("fps").union(finer.select("fps"))
-    out = cut(every.mapInArrow(run, "a long, b long").distinct(), "links")
+    out = cut(_compared(every, MAX_BITS), "links")
     drop_cut(cells)
     return out
 
 
+def near_links(distinct: DataFrame) -> DataFrame:
+    """distinct (fp): links (a, b) of fingerprints that differ in RADIUS bits at most and agree on AGREE parts, as all do
+    that differ in len(PARTS) - AGREE bits, and most that differ in a few more.
+
+    A cell gives all its links, or if it holds over SMALL, enough to connect them. One of over LARGE is dealt by hash to
+    parts of about LARGE; each holds the cell's least fingerprint, so what is near to that stays connected. Between
+    others of two parts links may be missing: whoever needs all of them searches on."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            cells = wider_numbers(fps.view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(np.repeat(fps, cells.shape[1]))], ["cell", "fp"])
+
+    dealt = distinct.select("fp").mapInArrow(deal, "cell long, fp long")
+    shared = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("lead")).filter("n > 1")
+    held = dealt.join(shared, "cell").groupBy("cell", "lead", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / LARGE)).alias("part"))
+    return cut(_compared(held.agg(F.collect_list("fp").alias("fps")).select(F.array_union("fps", F.array("lead")).alias("fps")), RADIUS), "near-links")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fingerprint, component_id) of every document: component_id is the smallest id among those reachable by links.
 
