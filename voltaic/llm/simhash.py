@@ -12,7 +12,8 @@ A cell leaves at most 22 bits open, so it holds 2 ** 22 different fingerprints a
 One of more than LARGE is dealt once more: its open bits fall into parts with pivots of their own, which leaves cells of
 8 open bits, 256 fingerprints at most, one task's work each.
 
-near_links does the same for a wider radius, which the pipeline's near copies need: there fewer parts must agree.
+near_links does the same for a wider radius, which the pipeline's near copies need: there fewer parts must agree, and
+second fingerprints discard pairs that only the first ones bring together.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from voltaic.llm.components import connected_components
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
 #: Widths of the parts, 64 bits together. A cell of more fingerprints than LARGE is dealt once more, by so many parts of its open bits.
 PARTS, LARGE, FINER = (11, 11, 11, 11, 10, 10), 4096, 6
-#: The wider radius, and on how many parts fingerprints agree that meet for it.
-RADIUS, AGREE = 8, 2
+#: The wider radius, on how many parts fingerprints agree that meet for it, and the radius of second fingerprints.
+RADIUS, AGREE, SECOND = 8, 2, 20
 #: A cell of more for the wider radius is dealt to parts.
 CROWD = 256
 #: Pivots of all bits. Pairs of cells up to SMALL are compared many cells at once.
@@ -148,16 +149,18 @@ def _survive(table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int = MAX_
     return i, j
 
 
-def _verified(fps: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray, radius: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+def _verified(fps: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray, radius: int = MAX_BITS, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     i, j = _survive(table, i, j, radius)
     near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
+    if second is not None:
+        near &= np.bitwise_count(second[i] ^ second[j]) <= SECOND
     return i[near], j[near]
 
 
-def _reached(fps: np.ndarray, table: np.ndarray, radius: int = MAX_BITS) -> Iterator[tuple[int, np.ndarray]]:
+def _reached(fps: np.ndarray, table: np.ndarray, radius: int = MAX_BITS, second: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(a fingerprint's place, the places reached from it first) of one cell, in the order of the search."""
     order = np.argsort(table[:, 0], kind="stable")
-    fps, table = fps[order], table[order]
+    fps, table, second = fps[order], table[order], None if second is None else second[order]
     # partners stand within radius of each other's first distance
     begins = np.searchsorted(table[:, 0], table[:, 0] - radius)
     ends = np.searchsorted(table[:, 0], table[:, 0] + radius, side="right")
@@ -168,18 +171,36 @@ def _reached(fps: np.ndarray, table: np.ndarray, radius: int = MAX_BITS) -> Iter
         while front:
             at = front.pop()
             near = begins[at] + np.flatnonzero(waiting[begins[at] : ends[at]])
-            _, found = _verified(fps, np.full(len(near), at), near, table, radius)
+            _, found = _verified(fps, np.full(len(near), at), near, table, radius, second)
             if len(found):
                 waiting[found] = False
                 front.extend(found.tolist())
                 yield int(order[at]), order[found]
 
 
-def cell_links(fps: np.ndarray, sizes: np.ndarray, radius: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """fps: the fingerprints of cells of these sizes, cell after cell. Links (a, b) of fingerprints, enough to connect
-    whatever is within radius in a cell."""
+def _forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs without those whose ends earlier ones connect."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    keep = np.zeros(len(i), bool)
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        low, high = sorted((find(a), find(b)))
+        if low != high:
+            root[high], keep[k] = low, True
+    return i[keep], j[keep]
+
+
+def cell_links(fps: np.ndarray, sizes: np.ndarray, radius: int = MAX_BITS, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """fps: the fingerprints of cells of these sizes, cell after cell. Links (a, b) of fingerprints, just enough to connect
+    whatever is within radius in a cell, and within SECOND by the second fingerprints if there are any."""
     base = np.cumsum(sizes) - sizes
     pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    own = lambda at: None if second is None else second[at]
     for size in np.unique(sizes[sizes <= SMALL]).tolist():
         a, b = np.triu_indices(size, 1)
         at = base[sizes == size]
@@ -187,24 +208,23 @@ def cell_links(fps: np.ndarray, sizes: np.ndarray, radius: int = MAX_BITS) -> tu
         for k in range(0, len(at), step):
             inner = (at[k : k + step, None] + np.arange(size)).ravel()
             first = size * np.arange(len(inner) // size)[:, None]
-            i, j = _verified(fps[inner], (first + a).ravel(), (first + b).ravel(), pivot_table(fps[inner]), radius)
+            i, j = _forest(*_verified(fps[inner], (first + a).ravel(), (first + b).ravel(), pivot_table(fps[inner]), radius, own(inner)))
             pairs.append((inner[i], inner[j]))
     for at, size in zip(base[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        own = fps[at : at + size]
-        pairs += [(np.full(len(found), at + i), at + found) for i, found in _reached(own, pivot_table(own), radius)]
+        cell = slice(at, at + size)
+        pairs += [(np.full(len(found), at + i), at + found) for i, found in _reached(fps[cell], pivot_table(fps[cell]), radius, own(cell))]
     i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
     return fps[i], fps[j]
 
 
 def _compared(cells: DataFrame, radius: int) -> DataFrame:
-    """cells (fps): the links (a, b) of each cell."""
+    """cells (fps, and second ones if wanted): the links (a, b) of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(0)
-            ends = lists.offsets.to_numpy()
-            fps = lists.values.to_numpy().view(np.uint64)[ends[0] : ends[-1]]
-            a, b = cell_links(fps, np.diff(ends).astype(np.int64), radius)
+            ends = batch.column(0).offsets.to_numpy()
+            fps, *second = (lists.values.to_numpy().view(np.uint64)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()] for lists in batch.columns)
+            a, b = cell_links(fps, np.diff(ends).astype(np.int64), radius, *second)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     return cells.mapInArrow(run, "a long, b long").distinct()
@@ -238,23 +258,27 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
-    """distinct (fp): links (a, b) of fingerprints that differ in RADIUS bits at most and agree on AGREE parts, as all do
-    that differ in len(PARTS) - AGREE bits, and most that differ in a few more.
+    """distinct (fp, and a second fingerprint if wanted): links (a, b) of fingerprints that differ in RADIUS bits at most and
+    agree on AGREE parts, as all do that differ in len(PARTS) - AGREE bits, and most that differ in a few more. Where there
+    are second fingerprints these differ in SECOND bits at most.
 
-    A cell gives all its links, or if it holds over SMALL, enough to connect them. One of over CROWD is dealt by hash to
-    parts of about CROWD; each holds the cell's least fingerprint, so what is near to that stays connected. Between
-    others of two parts links may be missing: whoever needs all of them searches on."""
+    A cell gives enough links to connect what these bring together, so no more than it has members. One of over CROWD is
+    dealt by hash to parts of about CROWD; each holds the cell's least fingerprint, so what is near to that stays
+    connected. Between others of two parts links may be missing: whoever needs all of them searches on."""
+    columns = [c for c in ("fp", "second") if c in distinct.columns]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy()
-            cells = wider_numbers(fps.view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(np.repeat(fps, cells.shape[1]))], ["cell", "fp"])
+            cells = wider_numbers(batch.column(0).to_numpy().view(np.uint64)).view(np.int64)
+            again = [pa.array(np.repeat(c.to_numpy(), cells.shape[1])) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), *again], ["cell", *columns])
 
-    dealt = distinct.select("fp").mapInArrow(deal, "cell long, fp long")
-    shared = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("lead")).filter("n > 1")
+    dealt = distinct.select(*columns).mapInArrow(deal, "cell long, " + ", ".join(f"{c} long" for c in columns))
+    own = F.struct(*columns)
+    shared = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min(own).alias("lead")).filter("n > 1")
     held = dealt.join(shared, "cell").groupBy("cell", "lead", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / CROWD)).alias("part"))
-    return cut(_compared(held.agg(F.collect_list("fp").alias("fps")).select(F.array_union("fps", F.array("lead")).alias("fps")), RADIUS), "near-links")
+    cells = held.agg(F.collect_list(own).alias("all")).select(F.array_union("all", F.array("lead")).alias("all"))
+    return cut(_compared(cells.select(*(F.col(f"all.{c}").alias(c) for c in columns)), RADIUS), "near-links")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

@@ -3,7 +3,8 @@
 It goes the way of SimHash dedup first: each text's fingerprint, that of its different words, is dealt by its distances to
 pivots, a table of pivot distances discards pairs, bits and shingles verify them, and components are made of the links
 (`simhash.near_links`). Words, as a text with one of its words changed keeps all others but loses five shingles: texts of
-similarity 0.8 or more differ in 3 bits then (median of 48 pairs of sf0.1), else in 9.
+similarity 0.8 or more differ in 3 bits then (median of 48 pairs of sf0.1), else in 9. Texts of common words are near by
+these without being similar; the fingerprints of their shingles, which go along, differ in half the bits and keep them apart.
 
 No radius holds all such texts, so an exact search follows for links between what is then still apart.
 
@@ -141,16 +142,16 @@ def _number(hashes: np.ndarray) -> int:
 
 
 def _described(keyed: DataFrame, shingle: int) -> DataFrame:
-    """(t1, t2, node, n, fp, bits) of every different text."""
+    """(t1, t2, node, n, fp, second, bits) of every different text: fp is of its words, second of its shingles."""
 
     def make(t1, t2, texts):
         sets = [shingles(t, shingle) for t in texts]
         columns = [pa.array(list(map(f, sets)), kind) for f, kind in ((_number, pa.int64()), (len, pa.int32()), (bitmap, pa.list_(pa.int64())))]
-        fps = pa.array([fingerprint(word_hashes(t)) for t in texts], pa.int64())
-        return pa.RecordBatch.from_arrays([t1, t2, *columns, fps], ["t1", "t2", "node", "n", "bits", "fp"])
+        fps = [pa.array(list(map(fingerprint, hashes)), pa.int64()) for hashes in (map(word_hashes, texts), sets)]
+        return pa.RecordBatch.from_arrays([t1, t2, *columns, *fps], ["t1", "t2", "node", "n", "bits", "fp", "second"])
 
-    rows = _different(keyed, make, "t1 long, t2 long, node long, n int, bits array<long>, fp long")
-    return rows.groupBy("t1", "t2").agg(*(F.first(c).alias(c) for c in ("node", "n", "bits", "fp")))
+    rows = _different(keyed, make, "t1 long, t2 long, node long, n int, bits array<long>, fp long, second long")
+    return rows.groupBy("t1", "t2").agg(*(F.first(c).alias(c) for c in ("node", "n", "bits", "fp", "second")))
 
 
 def _common(keyed: DataFrame, shingle: int) -> np.ndarray:
@@ -169,7 +170,9 @@ def _common(keyed: DataFrame, shingle: int) -> np.ndarray:
 
 def _cells(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(h, node, n, rest): the sets that have h among the first of their shingles, and how many come from h on, where there are two sets
-    at least. Of shingles that the same sets have one stands for all, with the largest rest."""
+    at least. Of shingles that the same sets have one stands for all, with the largest rest.
+
+    Nearly all shingles are of one set alone, so they are dealt by h once, which counting and joining both read, and are never written."""
     common = _common(keyed, shingle)
 
     def make(t1, t2, texts):
@@ -181,13 +184,11 @@ def _cells(keyed: DataFrame, shingle: int, similarity: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *parts])), *map(pa.array, columns)], ["h", "node", "n", "rest"])
 
     rows = _different(keyed, make, "h long, node long, n int, rest int")
-    postings = cut(rows.groupBy("h", "node").agg(F.first("n").alias("n"), F.first("rest").alias("rest")), "postings")
+    postings = rows.repartition("h").groupBy("h", "node").agg(F.first("n").alias("n"), F.first("rest").alias("rest"))
     same = [F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("b"), "node")).alias("s2"), F.min("node").alias("least")]
     shared = postings.groupBy("h").agg(*same).filter("members > 1")
     held = postings.join(shared, "h").groupBy("members", "s1", "s2", "least", "node")
-    cells = cut(held.agg(F.min("h").alias("h"), F.first("n").alias("n"), F.max("rest").alias("rest")).select("h", "node", "n", "rest"), "cells")
-    drop_cut(postings)
-    return cells
+    return cut(held.agg(F.min("h").alias("h"), F.first("n").alias("n"), F.max("rest").alias("rest")).select("h", "node", "n", "rest"), "cells")
 
 
 def _fit(similarity: float) -> Column:
@@ -198,7 +199,7 @@ def _fit(similarity: float) -> Column:
 
 def _near(nodes: DataFrame) -> DataFrame:
     """(a, b): pairs of sets whose fingerprints are near by the pivots; those of one fingerprint meet its smallest."""
-    named = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")), "named")
+    named = cut(nodes.groupBy("fp").agg(F.min(F.struct("node", "second")).alias("x")).select("fp", F.col("x.node").alias("first"), "x.second"), "named")
     links = simhash.near_links(named)
     first = lambda c: named.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
     pairs = links.join(first("a"), "a").join(first("b"), "b").select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
@@ -286,7 +287,7 @@ def near_copies(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = df.select(text.alias("text"), *(c.alias(k) for k, c in text_keys(text_col).items()))
     texts = cut(_described(keyed, shingle), "texts")
-    nodes = cut(texts.groupBy("node").agg(F.min_by(F.struct("t1", "t2", "n", "bits", "fp"), F.struct("t1", "t2")).alias("x")).select("node", "x.*"), "nodes")
+    nodes = cut(texts.groupBy("node").agg(F.min_by(F.struct("t1", "t2", "n", "bits", "fp", "second"), F.struct("t1", "t2")).alias("x")).select("node", "x.*"), "nodes")
 
     def verified(pairs: DataFrame) -> DataFrame:
         sets = _sets(keyed, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), shingle)
