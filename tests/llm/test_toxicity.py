@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,21 @@ def test_edges(spark):
     assert toxicity.score(odd, model).columns[:3] == odd.columns
     one = toxicity.fit(odd.withColumn("doc_id", F.lit(5)), spark.createDataFrame([(5, 1), (None, 0), (5, None)], "doc_id long, toxic int"))
     assert one.scores == {}
+
+
+def test_texts_are_scored_in_parts(spark, monkeypatch):
+    """What Python holds doesn't grow with the rows of a batch, nor with its different words."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(1000)) + " clod" * (i % 3) for i in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    model = toxicity.Model({"clod": 3.0}, 0.5, slope=1.0)
+    taken = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: taken.append(run) or spark.createDataFrame([], schema))
+    toxicity.score(df, model)
+    rows, known = [], []
+    for part in taken[0](iter([pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts})])):
+        rows.append(part)
+        known.append(len(model.known))
+    assert max(p.num_rows for p in rows) <= 256 and max(known) <= 101_001
+    fresh = toxicity.Model({"clod": 3.0}, 0.5, slope=1.0)
+    assert [x for p in rows for x in p.column(2).to_pylist()] == [fresh.score(t) for t in texts]
+    assert [x for p in rows for x in p.column(0).to_pylist()] == list(range(300))

@@ -23,7 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_CACHE = 400_000
+from voltaic.llm._common import sliced
+
+#: Scores of words that a model keeps at most, and those of one text besides.
+_CACHE = 100_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…–—¡¿"
 
 
@@ -136,7 +139,7 @@ def _tallies(sample: DataFrame) -> DataFrame:
         for batch in batches:
             tally: dict[str, list[int]] = {}
             parents: dict[str, str] = {"": ""}
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, label in ((t, y) for part in sliced(iter([batch])) for t, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
                 column = (label == 1) + 2 * fold(text)
                 names: dict[str, int] = {}
                 for word, times in Counter(text.split()).items():
@@ -234,7 +237,7 @@ def fit(
     folded = len(models) > 1
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             folds, sizes, rows = [], [], []
             for text in batch.column(0).to_pylist():
                 folds.append(k := 1 + fold(text) if folded else 0)  # the model that has not seen it
@@ -297,7 +300,7 @@ def score(df: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("excess", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             scores, spans = [], []
             for text in batch.column(place).to_pylist():
                 found = model.passages(text or "")
